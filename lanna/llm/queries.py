@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanna.llm.language import op2_word_first_language
+from lanna.llm.matroska import op4_matroska_media
+from lanna.llm.packing import op3_sum_of_squares_packing
+from lanna.llm.pii import op10_weak_supervision
+from lanna.llm.secrets import op6_secret_novelty
 from lanna.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_word_first_language": op2_word_first_language,
+    "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
+    "op4_matroska_media": op4_matroska_media,
+    "op6_secret_novelty": op6_secret_novelty,
     "op7_token_files": op7_token_files,
+    "op10_weak_supervision": op10_weak_supervision,
 }
 
 ORACLE_SQL: dict[str, str] = {}
