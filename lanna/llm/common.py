@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lanna.session import ship
+
 #: Arrow batches end at this many bytes, so that very long texts don't gather in one batch.
 BATCH_BYTES = 16 << 20
 
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python functions get, in bytes and rows; a smaller setting of the session stays."""
+    """Bounds the Arrow batches that Python functions get, in bytes and rows; a smaller setting of the session stays.  Workers get the code."""
+    ship(spark)
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 8192)):
         key = f"spark.sql.execution.arrow.{key}"
         if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:

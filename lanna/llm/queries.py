@@ -11,6 +11,7 @@ from lanna.llm.matroska import op4_matroska_media
 from lanna.llm.packing import op3_sum_of_squares_packing
 from lanna.llm.pii import op10_weak_supervision
 from lanna.llm.secrets import op6_secret_novelty
+from lanna.llm.substrings import op9_window_dedup
 from lanna.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_matroska_media": op4_matroska_media,
     "op6_secret_novelty": op6_secret_novelty,
     "op7_token_files": op7_token_files,
+    "op9_window_dedup": op9_window_dedup,
     "op10_weak_supervision": op10_weak_supervision,
 }
 
