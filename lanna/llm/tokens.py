@@ -17,9 +17,27 @@ import numpy as np
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Python counts these as white space, Unicode's White_Space does not: such texts take the direct way.
+#: White space other than blanks and line feeds, and what Python but not Unicode's White_Space counts as such.
+_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = re.compile("[\x1c-\x1f]")
 _UNIT = re.compile(r"\s*\S+|\s+")
+#: Units of letters, digits and signs, which pre-tokenizers part; no apostrophes, which may join what follows.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[\x1c]?[{_LETTERS}]+")
+_SAFE = re.compile(rf"[\x1c\x1d]?[{_LETTERS}0-9{_SIGNS}]+")
+#: Keys of units: a plain key has a blank before it, the others begin with one of these.
+_AS_IS, _LINE = "\x1c", "\x1d"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def vocabulary_path(name: str) -> str:
@@ -43,7 +61,7 @@ class _Index(dict):
 class UnitEncoder:
     """Encodes lists of texts; `spaces` tells whether white space makes ids (byte-level) or only separates (word-level)."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,8 +69,8 @@ class UnitEncoder:
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._split = _UNIT.findall if spaces else str.split
-        self._limit = limit
+        self._model, self._spaces, self._limit = self._tokenizer.model, spaces, limit
+        self._runs = re.compile(rf"[{_LETTERS}]+|[0-9]{'+' if spaces else ''}|[{_SIGNS}]+").findall
         self.size = self._tokenizer.get_vocab_size()
         self._clear()
 
@@ -64,9 +82,59 @@ class UnitEncoder:
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text's units."""
+        if not self._spaces:
+            return text.split()
+        if text and not (_OTHER.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"):
+            return (_AS_IS + text.replace("\n", " " + _LINE)).split(" ")
+        return [u[1:] if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else _AS_IS + u for u in _UNIT.findall(text)]
+
+    def _unit(self, key: str) -> str:
+        if not self._spaces:
+            return key.removeprefix(_AS_IS)
+        return key[1:] if key[0] == _AS_IS else "\n" + key[1:] if key[0] == _LINE else " " + key
+
+    def _word(self, key: str) -> list[int]:
+        """Ids of letters with or without a blank before them: no pre-tokenizer parts these, so the model takes them as they are."""
+        if self._spaces:
+            text = key[1:] if key[0] == _AS_IS else "Ġ" + key  # Ġ stands for a blank
+            if not text.isascii():
+                text = text.encode()[2:] if text[0] == "Ġ" else text.encode()
+                text = ("Ġ" if key[0] != _AS_IS else "") + text.decode("latin-1").translate(_BYTE_CHARS)
+        else:
+            text = key.lower()
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self._model.tokenize(text)]
+
     def _learn(self) -> None:
         """Adds the ids of the units that the index met for the first time."""
-        new, self._index.new = self._direct(self._index.new), []
+        index, joined, other = self._index, {}, []
+        first = len(index) - len(index.new)
+        new: list = []
+        for key in index.new:  # grows by the runs of units
+            if _PLAIN.fullmatch(key):
+                new.append(self._word(key))
+                continue
+            new.append(())
+            if _SAFE.fullmatch(key) and (len(runs := self._runs(key)) > 1 or key[0] == _LINE):
+                if self._spaces:
+                    keys = [_AS_IS + r for r in runs]
+                    if key[0] == _LINE:
+                        keys.insert(0, _AS_IS + "\n")
+                    elif key[0] != _AS_IS:
+                        keys[0] = runs[0]
+                else:
+                    keys = runs
+                joined[len(new) - 1] = [index[k] for k in keys]
+            else:
+                other.append((len(new) - 1, self._unit(key)))
+        for (at, _), ids in zip(other, self._direct([u for _, u in other])):
+            new[at] = ids
+        for at, parts in joined.items():
+            new[at] = [i for k in parts for i in (new[k - first] if k >= first else self._ids[self._offset[k] : self._offset[k + 1]].tolist())]
+        index.new = []
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         self._offset = np.concatenate([self._offset, self._offset[-1] + np.cumsum(lengths)])
         flat = np.fromiter(chain.from_iterable(new), np.uint32, int(lengths.sum()))
@@ -76,14 +144,13 @@ class UnitEncoder:
         """All ids, one text after another, and each text's count; `tail` is put after each text."""
         if len(self._index) > self._limit:
             self._clear()
-        split, found, counts, direct = self._split, self._index.__getitem__, [], {}
-        at = []
+        found, counts, direct, at = self._index.__getitem__, [], {}, []
         for k, text in enumerate(texts):
             if _ODD.search(text):
                 direct[k] = np.asarray(self._direct([text])[0], np.uint32)
                 counts.append(0)
                 continue
-            own = split(text)
+            own = self._keys(text)
             at.append(np.fromiter(map(found, own), np.int64, len(own)))
             counts.append(len(own))
         if self._index.new:
@@ -108,15 +175,3 @@ class UnitEncoder:
 def encoder(path: str, spaces: bool) -> UnitEncoder:
     """One encoder a worker process and vocabulary."""
     return UnitEncoder(path, spaces)
-
-
-def chunks(texts, most_chars: int = 2_000_000):
-    """Slices (start, stop) of `texts` of about so many characters."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most_chars:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
