@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanna.llm.language import op2_word_first_language
 from lanna.llm.matroska import op4_matroska_media
+from lanna.llm.minhash import op8_circulant_minhash
 from lanna.llm.packing import op3_sum_of_squares_packing
 from lanna.llm.pii import op10_weak_supervision
 from lanna.llm.secrets import op6_secret_novelty
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_matroska_media": op4_matroska_media,
     "op6_secret_novelty": op6_secret_novelty,
     "op7_token_files": op7_token_files,
+    "op8_circulant_minhash": op8_circulant_minhash,
     "op9_window_dedup": op9_window_dedup,
     "op10_weak_supervision": op10_weak_supervision,
 }
