@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanna.llm.decontamination import op1_template_decontamination
 from lanna.llm.language import op2_word_first_language
 from lanna.llm.matroska import op4_matroska_media
 from lanna.llm.minhash import op8_circulant_minhash
@@ -16,6 +17,7 @@ from lanna.llm.substrings import op9_window_dedup
 from lanna.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_word_first_language": op2_word_first_language,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_matroska_media": op4_matroska_media,
