@@ -125,27 +125,45 @@ class _Rows(dict):
         return self.logs
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    model = model.value
-    langs, rows = np.array(model.langs + [UNKNOWN]), _Rows(model)
-    for batch in batches:
-        score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, len(model.langs))
-        if len(rows) > len(model.words) + CACHE:
-            rows = _Rows(model)
-        found = []
-        for text in texts_of(batch):
+class _Predictor:
+    """Predicts lists of texts; words' rows are kept from one list to the next."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, _Rows(model)
+        self.langs = np.array(model.langs + [UNKNOWN])
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        model = self.model
+        if len(self.rows) > len(model.words) + CACHE:
+            self.rows = _Rows(model)
+        score, best, found = np.zeros(len(texts)), np.full(len(texts), len(model.langs)), []
+        for text in texts:
             words = _WORD.findall(text.lower())
-            found.append(np.fromiter(map(rows.__getitem__, words), np.int64, len(words)))
-        logs = rows.all_logs()
+            found.append(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)))
+        logs = self.rows.all_logs()
         for k, at in enumerate(found):
             if len(at) and len(model.langs):
                 total = logs[at].sum(axis=0, dtype=np.float64) + model.prior
                 best[k] = int(np.argmax(total))
                 score[k] = 1 / np.exp(total - total[best[k]]).sum()
-        columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs[best].tolist(), pa.string()), pa.array(score)]
+        return self.langs[best].tolist(), score
+
+
+def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    predict = _Predictor(model.value)
+    for batch in batches:
+        langs, score = predict(texts_of(batch))
+        columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _accept(batches: Iterator[pa.RecordBatch], model, column: int, least: float) -> Iterator[pa.RecordBatch]:
+    predict = _Predictor(model.value)
+    for batch in batches:
+        langs, score = predict([x or "" for x in batch.column(column).to_pylist()])
+        yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, score.tolist())], pa.bool_()))
+
+
 def fit(docs: DataFrame, max_words: int = MAX_WORDS) -> Model:
     """Learns from text and lang of the labelled documents that are not held out."""
     spark = docs.sparkSession
@@ -177,6 +195,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return plain.mapInArrow(partial(_predict, model=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text has a language that is at least so likely."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_accept, model=shared, column=docs.columns.index("text"), least=least), docs.schema)
+
+
 def op2_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

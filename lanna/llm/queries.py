@@ -12,6 +12,7 @@ from lanna.llm.matroska import op4_matroska_media
 from lanna.llm.minhash import op8_circulant_minhash
 from lanna.llm.packing import op3_sum_of_squares_packing
 from lanna.llm.pii import op10_weak_supervision
+from lanna.llm.pseudo_likelihood import op5_masked_pseudo_likelihood
 from lanna.llm.secrets import op6_secret_novelty
 from lanna.llm.substrings import op9_window_dedup
 from lanna.llm.token_files import op7_token_files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_word_first_language": op2_word_first_language,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_matroska_media": op4_matroska_media,
+    "op5_masked_pseudo_likelihood": op5_masked_pseudo_likelihood,
     "op6_secret_novelty": op6_secret_novelty,
     "op7_token_files": op7_token_files,
     "op8_circulant_minhash": op8_circulant_minhash,
