@@ -483,13 +483,13 @@ def report_cube(spark, sf_dir):
     return both[0].unionByName(both[1]).cube("config", "even").agg(F.count("*").alias("n"), F.round(F.avg("ndcg"), 4).alias("mean"))
 
 
-@query("bio_entities", """WITH w AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS place, CASE WHEN l_linenumber % 4 = 1 THEN 'B_' || l_returnflag WHEN l_linenumber % 4 = 0 THEN 'O' ELSE 'I_' || l_returnflag END AS ne, l_linestatus || l_linenumber AS word FROM lineitem),
+@query("bio_entities", """WITH w AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS place, CASE WHEN l_linenumber % 4 = 1 THEN 'B_' || l_returnflag WHEN l_linenumber % 4 = 0 THEN 'O' ELSE 'I_' || l_returnflag END AS ne, l_linestatus || l_linenumber AS word FROM lineitem),
     n AS (SELECT *, CASE WHEN ne = 'O' THEN NULL ELSE substring(ne, 3) END AS name FROM w), b AS (SELECT *, CASE WHEN ne LIKE 'B#_%' ESCAPE '#' OR NOT coalesce(name = lag(name) OVER (PARTITION BY l_orderkey ORDER BY place), false) THEN 1 ELSE 0 END AS begun FROM n),
     i AS (SELECT *, sum(begun) OVER (PARTITION BY l_orderkey ORDER BY place ROWS UNBOUNDED PRECEDING) AS island FROM b) SELECT l_orderkey, name, string_agg(word, '' ORDER BY place) AS text FROM i WHERE name IS NOT NULL GROUP BY l_orderkey, island, name""")
 def bio_entities(spark, sf_dir):
     k = F.col("l_linenumber") % 4
     ne = F.when(k == 1, F.concat(F.lit("B_"), "l_returnflag")).when(k == 0, "O").otherwise(F.concat(F.lit("I_"), "l_returnflag"))
-    words = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("place"), ne.alias("ne"), F.concat("l_linestatus", "l_linenumber").alias("word"))
+    words = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * F.lit(1_000_000_000_000).cast("long") + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("place"), ne.alias("ne"), F.concat("l_linestatus", "l_linenumber").alias("word"))
     return retrieval.entities(words, "l_orderkey", "place")
 
 
