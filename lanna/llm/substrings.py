@@ -221,7 +221,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     lists = anchors.select("anchor", "doc_id").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as long as the document at most
     lists = lists.join(copies.select("doc_id"), "doc_id", "left_anti")
 
-    windows = docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows, OPEN)
+    # With row_id, though unused here, the texts' exchange is the same as the last join's, and Spark reuses it.
+    windows = docs.join(lists, "doc_id").select("doc_id", "row_id", "text", "anchors").mapInArrow(_windows, OPEN)
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     removed = windows.withColumn("least", least).where("sure or doc_id > least").select("doc_id", "text_crc", "at", "n")
     whole = copies.select("doc_id", "text_crc", F.lit(-1).alias("at"), F.lit(0).alias("n"))
