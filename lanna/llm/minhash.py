@@ -11,7 +11,8 @@ Equal sets are one class, represented by its smallest doc_id.  In every bucket t
 classes are compared with a leader first, and links are merged into components;
 then, in buckets that still hold several components, all pairs of different
 components are compared: small buckets directly, large ones in blocks of BLOCK by
-BLOCK classes, so no bucket is gathered in a task and no pair is left out.  Pairs
+BLOCK classes, so no bucket is gathered in a task and no pair is left out; a block
+gives its links, not its pairs, and a pair is compared in its first common band.  Pairs
 whose signatures agree too rarely or whose sizes differ too much are not linked (a
 linked pair agrees in fewer than LEAST_EQUAL of 140 coordinates with a probability
 below 1e-9); all others are decided on their full sets, 100 * intersection >=
@@ -139,22 +140,57 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-def _in_block(rows):
-    """Likely pairs of different components: within a block of a bucket, or between two."""
-    import pandas as pd
-
+def _block_pairs(rows):
+    """Of a group of rows, one block of a bucket or two: for each row the later rows that it may be linked with, which no earlier band compares."""
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, COORDINATES)
-    ids, label, size, block = (rows[k].to_numpy() for k in ("class_id", "label", "size", "block"))
+    bands = np.array(rows["bands"].tolist(), np.int64).reshape(-1, BANDS)
+    label, size, block = (rows[k].to_numpy() for k in ("label", "size", "block"))
     first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    earlier = int(np.flatnonzero(bands[0] == rows["key"].iloc[0])[0])
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    a, b = [], []
     for k in left:
         other = right[right > k] if first == second else right
         other = other[(label[other] != label[k]) & (100 * np.minimum(size[other], size[k]) >= PERCENT * np.maximum(size[other], size[k]))]
         other = other[(sig[other] == sig[k]).sum(axis=1) >= LEAST_EQUAL]
-        a += [ids[k]] * len(other)
-        b += ids[other].tolist()
-    return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        other = other[~(bands[other, :earlier] == bands[k, :earlier]).any(axis=1)]
+        if len(other):
+            yield k, other
+
+
+def _active(rows):
+    """The rows of a group that have any such pair."""
+    keep = np.zeros(len(rows), bool)
+    for k, other in _block_pairs(rows):
+        keep[k] = keep[other] = True
+    return rows[keep]
+
+
+def _links(rows):
+    """The links in a group, but those that others imply."""
+    import pandas as pd
+
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    ids, found = rows["class_id"].to_numpy(), []
+    root = {x: x for x in rows["label"].tolist()}
+    label = rows["label"].tolist()
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, other in _block_pairs(rows):
+        own, sizes = sets[k], np.array([len(sets[o]) for o in other])
+        flat = np.concatenate([sets[o] for o in other])
+        equal = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
+        for o in other[100 * both >= PERCENT * (len(own) + sizes - both)].tolist():
+            x, y = top(label[k]), top(label[o])
+            if x != y:
+                root[x] = y
+                found.append((min(ids[k], ids[o]), max(ids[k], ids[o])))
+    return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,18 +219,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, bands array<long>, sig binary"))
     real = signed.where("doc_id is not null and print is not null")
     classes = real.groupBy("print").agg(F.min("doc_id").alias("class_id"))
-    own = real.join(classes, "print").where("doc_id = class_id").dropDuplicates(["print"])
-    # Rows with one doc_id and several texts make one class each; the smallest print stands for the id.
-    own = own.groupBy("class_id").agg(F.min(F.struct("print", "n_shingles", "sig", "bands")).alias("x")).select("class_id", F.col("x.n_shingles").alias("size"), "x.sig", "x.bands")
-    own = written(own)
+    # Rows with one doc_id and several texts: the smallest print stands for the id.
+    firsts = classes.groupBy("class_id").agg(F.min("print").alias("print"))
+    own = real.join(firsts, "print").where("doc_id = class_id").dropDuplicates(["print"])
+    own = written(own.select("class_id", F.col("n_shingles").alias("size"), "sig", "bands"))
     signs = own.select("class_id", "size", "sig")
 
     rows = own.select("class_id", F.explode("bands").alias("key"))
-    other = F.min(F.struct(F.xxhash64("class_id", "key"), "class_id"))["class_id"]
-    leaders = rows.groupBy("key").agg(F.min("class_id").alias("leader"), other.alias("other"), F.count("*").alias("n")).where("n > 1")
+    leaders = rows.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(leaders, "key"))
 
-    ids = members.select(F.col("class_id").alias("id")).distinct()
+    others = members.where("key % 4 = 0").groupBy("key").agg(F.min(F.struct(F.xxhash64("class_id", "key"), "class_id"))["class_id"].alias("other"))
+    # The ids grow with the corpus, so they are never broadcast.
+    ids = members.select(F.col("class_id").alias("id")).distinct().hint("merge")
     sets = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "none")
 
     def side(name: str) -> DataFrame:
@@ -209,7 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    stars = members.where("class_id <> leader").select(*pair("class_id", "leader")).union(members.where("class_id <> other and key % 4 = 0").select(*pair("class_id", "other")))
+    stars = members.where("class_id <> leader").select(*pair("class_id", "leader")).union(members.join(others, "key").where("class_id <> other").select(*pair("class_id", "other")))
     edges = written(verified(stars))
     found = components(edges)
 
@@ -221,9 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = few.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     many = labelled.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class_id", "label").join(signs, "class_id")
-    many = many.groupBy("key", "i", "j").applyInPandas(_in_block, "a long, b long")
-    edges = edges.union(verified(few.union(many)))
+    group = "key long, i int, j int, block int, class_id long, label long"
+    many = many.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class_id", "label")
+    active = many.join(own, "class_id").select("key", "i", "j", "block", "class_id", "label", "size", "sig", "bands").groupBy("key", "i", "j").applyInPandas(_active, f"{group}, size long, sig binary, bands array<long>")
+    active = active.join(sets.withColumnRenamed("id", "class_id"), "class_id")
+    edges = edges.union(verified(few)).union(active.groupBy("key", "i", "j").applyInPandas(_links, "a long, b long"))
     found = components(edges)
 
     ids = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("print", F.coalesce("component", "class_id").alias("component_id"))
