@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanna.session import ship
 
 #: Arrow batches end at this many bytes, so that very long texts don't gather in one batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ LITERAL = 4
 COVERAGE = 0.5
 FILTER_MOST = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 200_000
 WORD, NUMBER, UNIT, NAME, SIGN = range(5)
 _MARKS = mixed(np.arange(5, dtype=np.uint64) + np.uint64(7))
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -53,20 +53,34 @@ UNITS = frozenset(
 )
 
 
+_WORD_ROW = np.dtype([("h", "u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
+
+
 class _Words(dict):
     """Numbers words; keeps of each the hash of its wording, its kind, whether it begins with a capital, whether it ends a sentence."""
 
     def __init__(self):
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.rows: list[tuple[int, int, bool, bool]] = []  # of words met since the last look
+        self.known = np.zeros(0, _WORD_ROW)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        if word.isalpha():  # most words: no edges, no digits, no end of a sentence
+            low = word.lower()
+            self.rows.append((xxhash.xxh3_64_intdigest(low), UNIT if low in UNITS else WORD, word[0].isupper() and not word[1:].isupper(), False))
+            return n
         bare = _EDGE.sub("", word)
         low = bare.lower()
         kind = SIGN if not bare else NUMBER if _NUMBER.fullmatch(word.strip(".,;:!?()[]\"'")) or bare.isdigit() else UNIT if low in UNITS else WORD
         self.rows.append((xxhash.xxh3_64_intdigest(low), kind, bare[:1].isupper() and not bare[1:].isupper(), word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":", "|")))
         return n
 
+    def table(self) -> np.ndarray:
+        if self.rows:
+            self.known = np.concatenate([self.known, np.array(self.rows, _WORD_ROW)])
+            self.rows = []
+        return self.known
+
 
 class Templates:
     """The templates of some texts, one after another: hash and kind of each token, and the words that each stands for."""
@@ -83,11 +97,10 @@ class Templates:
             parts.append(np.fromiter(map(find, own), np.int64, len(own)))
         counts = [*map(len, parts)]
         at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        kinds = np.dtype([("h", "u8"), ("kind", "i8"), ("capital", "?"), ("ends", "?")])
-        known = np.array(self._words.rows, kinds)[at] if len(at) else np.zeros(0, kinds)
+        known = self._words.table()[at]
         doc = np.repeat(np.arange(len(parts)), counts)
         first = np.r_[True, (doc[1:] != doc[:-1]) | known["ends"][:-1]] if len(doc) else np.zeros(0, bool)
-        kind = known["kind"].copy()
+        kind = known["kind"].astype(np.int64)
         before = np.r_[SIGN, kind[:-1]] if len(kind) else kind
         kind[(kind == UNIT) & ((before != NUMBER) | first)] = WORD
         kind[(kind == WORD) & known["capital"] & ~first] = NAME

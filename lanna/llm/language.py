@@ -33,8 +33,8 @@ from lanna.llm.common import bounded_batches, table, texts_of, written
 MAX_WORDS = 60_000
 MAX_GRAM = 5
 UNKNOWN = "und"
-FLUSH = 200_000
-CACHE = 300_000
+FLUSH = 100_000
+CACHE = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -47,7 +47,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = (np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B1)).astype(np.uint32)[:, None]
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 _WEIGHTS = mixed(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 200_000
 
 
 class _Hashes(dict):

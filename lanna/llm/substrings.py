@@ -39,7 +39,7 @@ LAST_ID = (1 << 63) - 1
 _BASES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))
 _DOC = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 200_000
 
 
 class _Hashes(dict):
