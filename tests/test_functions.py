@@ -5,7 +5,7 @@ from lanna.functions import scalar
 from lanna.operators import analyzers, filters
 from lanna.operators.numbers import merge_numbers, parse
 from lanna.operators.romanize import by_rules, romanize
-from lanna.sources import dictionary
+from lanna.sources import corpus, dictionary
 
 
 def applied(spark, values, f):
@@ -113,3 +113,23 @@ def test_dictionary_files(spark, tmp_path):
     rules = {r["short"]: r["full"] for r in dictionary.abbreviation_frame(spark, ["มทส.=>x", "y\tz"]).orderBy("rank").collect()}
     assert rules["มทส."] == "x" and rules["y"] == "z" and rules["อ."] == "อำเภอ" and rules["ก.พ."] == "กุมภาพันธ์"
     assert {r["word"]: r["spellings"] for r in dictionary.romanization_frame(spark, ["ก=>A, b,a"]).collect()}["ก"] == ["a", "b"]
+
+
+def test_tagged_articles(spark, tmp_path):
+    (tmp_path / "a1.txt").write_text("นาย\tNN\tB_PER\n_\tPU\tO\nก\tNN\tO\n\n\nข\tVV\tO\nshort\tx\n \tNN\tO\nค\tNN\tO\n", "utf-8")
+    (tmp_path / "b.c.txt").write_text("", "utf-8")
+    words = corpus.read_tagged(spark, str(tmp_path))
+    rows = [(r["article"], r["sentence"], r["word"], r["pos"], r["ne"]) for r in words.orderBy("place").collect()]
+    assert rows == [("a1", 0, "นาย", "NN", "B_PER"), ("a1", 0, " ", "PU", "O"), ("a1", 0, "ก", "NN", "O"), ("a1", 1, "ข", "VV", "O"), ("a1", 2, "ค", "NN", "O")]
+    assert [r["word"] for r in corpus.listed_words(words, "article").orderBy("place").collect()] == ["นาย", "ก", "ข", "ค"]
+    assert corpus.article_text(words, "article").first()["text"] == "นาย ก\nข\nค"
+
+
+def test_sinks(spark, tmp_path):
+    postings = spark.createDataFrame([("a", 1, 2), ("b", 1, 1)], "term string, doc_id long, tf long")
+    corpus.write_postings(postings, str(tmp_path / "p"))
+    assert sorted(map(tuple, corpus.read_postings(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, postings.collect()))
+    corpus.write_bulk(postings.limit(1), "doc_id", "term", "x", str(tmp_path / "b"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()) == ['{"body":"a"}', '{"index":{"_index":"x","_id":"1"}}']
+    corpus.write_results(postings, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
