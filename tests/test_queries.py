@@ -1,6 +1,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def duck():
 
 def plain(df):
     def one(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return "null"
         try:
             return f"{float(x):.4f}" if not isinstance(x, (bool, str)) else str(x)
