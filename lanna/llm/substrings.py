@@ -214,12 +214,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Whole texts that an earlier document has: only ids and md5 are shuffled.
     prints = docs.select("doc_id", F.unhex(F.md5("text")).alias("print"), F.crc32(F.col("text").cast("binary")).alias("text_crc"), (F.length("text") >= 2 * WINDOW - 1).alias("long")).where("long")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = prints.join(firsts, "print").where("doc_id > first_id").select("doc_id", "text_crc").distinct()
+    judged = prints.join(firsts, "print", "left").select("doc_id", "text_crc", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy"))
+    copies = judged.where("copy").select("doc_id", "text_crc").distinct()
+    copied = judged.groupBy("doc_id").agg(F.min("copy").alias("all")).where("all").select("doc_id")  # rows with one doc_id may have other texts
 
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long, n int")
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     lists = anchors.select("anchor", "doc_id").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as long as the document at most
-    lists = lists.join(copies.select("doc_id"), "doc_id", "left_anti")
+    lists = lists.join(copied, "doc_id", "left_anti")
 
     # With row_id, though unused here, the texts' exchange is the same as the last join's, and Spark reuses it.
     windows = docs.join(lists, "doc_id").select("doc_id", "row_id", "text", "anchors").mapInArrow(_windows, OPEN)

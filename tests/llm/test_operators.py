@@ -131,7 +131,11 @@ def test_packing(spark, odd_rows):
     odd = packing.pieces_digest(odd_rows.where("doc_id <> 1 or doc_id is null")).collect()
     check_packing(odd, {r["doc_id"]: encoded(tokens.WORD_BPE, r["text"] or "", 1) for r in odd_rows.collect() if r["doc_id"] != 1})
     assert packing.pieces_digest(odd_rows.limit(0)).count() == 0
-    assert packing.pieces_digest(odd_rows.where("doc_id = 1")).count() == 2
+    twice = packing.pieces_digest(odd_rows.where("doc_id = 1")).collect()  # cut freely, so there may be more pieces than rows
+    places = sorted(p for r in twice for p in range(r["start"], r["start"] + r["length"]))
+    assert {r["doc_tokens"] for r in twice} == {len(places) // 2} and places == sorted([*range(len(places) // 2)] * 2)
+    own = encoded(tokens.WORD_BPE, odd_rows.where("doc_id = 1").first()["text"], 1)
+    assert all(r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) for r in twice) and len(own) == len(places) // 2
 
 
 def test_sum_of_squares_rule():
