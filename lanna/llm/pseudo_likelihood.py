@@ -9,8 +9,8 @@ within it (classes are runs of equal size in order of frequency).  A document's
 is the sum of the conditional log-probabilities of all its tokens.
 
 Training is data-parallel: each round, every task trains a copy of the network on its
-share of the documents (a hash picks one in SHARE of all, whole texts), and Spark
-averages the copies, weighed by tokens.  So what is gathered, word counts and copies,
+part of the documents, all of which are used, and Spark averages the copies, weighed by
+tokens.  So what is gathered, word counts and copies,
 grows with the input; what is broadcast is one network of fixed size.
 
 Defined results: null or empty text has no tokens and score 0, its mean is null; null
@@ -38,7 +38,6 @@ SUFFIXES = 512
 CLASSES = 32
 SIDE = 3
 WIDTH, HIDDEN = 12, 32
-SHARE = 40
 ROUNDS = 2
 BATCH = 512
 RATE = 0.15
@@ -181,37 +180,52 @@ def log_probabilities(net: dict[str, np.ndarray], target: np.ndarray, around: np
 def train_step(net: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a batch's mean log-loss."""
     n = len(target)
+    order = np.argsort(target // _PER, kind="stable")  # rows of a class stand together
+    target, around = target[order], around[order]
     x, h = _forward(net, around)
-    group, within = target // _PER, target % _PER
+    group, within, each = target // _PER, target % _PER, np.arange(n)
     p = np.exp(_log_softmax(h @ net["class"] + net["class_bias"]))
-    p[np.arange(n), group] -= 1
+    p[each, group] -= 1
     back = p @ net["class"].T
     class_step, class_bias_step = h.T @ p, p.sum(axis=0)
-    for c in np.unique(group):
-        own = np.flatnonzero(group == c)
-        q = np.exp(_log_softmax(h[own] @ net["word"][c] + net["word_bias"][c]))
-        q[np.arange(len(own)), within[own]] -= 1
-        back[own] += q @ net["word"][c].T
-        net["word"][c] -= rate / n * (h[own].T @ q)
-        net["word_bias"][c] -= rate / n * q.sum(axis=0)
+    ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    runs = [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+    q = net["word_bias"][group]
+    for c, i, j in runs:
+        q[i:j] += h[i:j] @ net["word"][c]
+    q = np.exp(_log_softmax(q))
+    q[each, within] -= 1
+    for c, i, j in runs:
+        back[i:j] += q[i:j] @ net["word"][c].T
+        net["word"][c] -= rate / n * (h[i:j].T @ q[i:j])
+    net["word_bias"][[c for c, _, _ in runs]] -= rate / n * np.add.reduceat(q, [i for _, i, _ in runs])
     back *= h > 0
-    to_x = (back @ net["inner"].T).reshape(n, 2 * SIDE, WIDTH)
+    to_x = back @ net["inner"].T
     net["class"] -= rate / n * class_step
     net["class_bias"] -= rate / n * class_bias_step
     net["inner"] -= rate / n * (x.T @ back)
     net["inner_bias"] -= rate / n * back.sum(axis=0)
-    np.subtract.at(net["embedding"], around.ravel(), rate / n * to_x.reshape(-1, WIDTH))
+    places = (around.astype(np.int64)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+    net["embedding"] -= (rate / n * np.bincount(places, to_x.ravel(), net["embedding"].size).reshape(-1, WIDTH)).astype(net["embedding"].dtype)
 
 
-def _train(batches: Iterator[pa.RecordBatch], vocab, now, seed: int) -> Iterator[pa.RecordBatch]:
-    """A row a part of the network: the task's numbers times its tokens, and the tokens."""
-    flat, find, seen = now.value.copy(), vocab.value.__getitem__, 0
-    net, rng = opened(flat), np.random.default_rng(seed)
+def _encode(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
+    """The ids of each text, two bytes a token."""
+    find = vocab.value.__getitem__
     for batch in batches:
         texts = texts_of(batch)
-        for a, b in slices(batch, [*map(len, texts)], 500_000):
-            ids = [np.fromiter(map(find, t), np.int32, len(t)) for t in map(tokens, texts[a:b])]
-            target, around = contexts(ids)
+        for a, b in slices(batch, [*map(len, texts)]):
+            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter(map(find, t), np.int16, len(t)).tobytes() for t in map(tokens, texts[a:b])], pa.binary())], ["ids"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.RecordBatch]:
+    """A row a task: its network and its tokens."""
+    flat, seen = now.value.copy(), 0
+    net, rng = opened(flat), np.random.default_rng(seed)
+    for batch in batches:
+        raw = batch.column("ids").to_pylist()
+        for a, b in slices(batch, [*map(len, raw)], 200_000):
+            target, around = contexts([np.frombuffer(x, np.int16).astype(np.int32) for x in raw[a:b]])
             order = rng.permutation(len(target))
             for k in range(0, len(order), BATCH):
                 own = order[k : k + BATCH]
@@ -232,18 +246,20 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "total"])
 
 
-def train(docs: DataFrame, vocab: Vocabulary, share: int = SHARE, rounds: int = ROUNDS) -> np.ndarray:
-    """The network after some rounds of averaging."""
+def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUNDS) -> np.ndarray:
+    """The network after some rounds of averaging; trained on one document in `share`, or on all if these have no tokens."""
     spark = docs.sparkSession
     shared, now = spark.sparkContext.broadcast(vocab), start()
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    part = docs if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    encoded = written(part.mapInArrow(partial(_encode, vocab=shared), "ids binary"))  # once for all rounds
     for k in range(rounds):
-        copies = part.mapInArrow(partial(_train, vocab=shared, now=spark.sparkContext.broadcast(now), seed=k), "tokens long, network binary")
+        copies = encoded.mapInArrow(partial(_train, now=spark.sparkContext.broadcast(now), seed=k), "tokens long, network binary")
         # Copies are added up in groups of 32, so the driver gets few sums; a copy's group is its task's number.
         groups = copies.withColumn("g", F.floor(F.spark_partition_id() / 32)).repartition("g").select("tokens", "network").mapInArrow(_add, "tokens long, total binary").collect()
         weight = sum(r["tokens"] for r in groups)
-        if weight:
-            now = (sum(np.frombuffer(r["total"], np.float64) for r in groups) / weight).astype(np.float32)
+        if not weight:
+            return now if share == 1 else train(docs, vocab, 1, rounds)
+        now = (sum(np.frombuffer(r["total"], np.float64) for r in groups) / weight).astype(np.float32)
     return now
 
 

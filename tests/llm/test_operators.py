@@ -224,6 +224,15 @@ def test_pseudo_likelihood(spark, odd_rows):
     assert p.pseudo_likelihood(odd_rows.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_all_documents(spark):
+    p = pseudo_likelihood
+    few = documents(spark).select("text").where(F.pmod(F.xxhash64("text"), F.lit(40)) != 0).limit(60).coalesce(1).cache()
+    vocab = p.vocabulary(few)
+    network = p.train(few, vocab)
+    assert not np.array_equal(network, p.start()) and np.allclose(network, p.train(few, vocab, share=1), atol=1e-5)
+    assert not np.array_equal(p.train(few, vocab, share=40), p.start())
+
+
 # -- 6 and 10 ----------------------------------------------------------------
 
 
