@@ -5,13 +5,16 @@ of the whole corpus, counted in Spark; other words fall into buckets by their la
 letters, so that every token has an id below VOCABULARY.  The network averages
 nothing and masks the token itself: the embeddings of SIDE tokens left and right make
 a hidden layer of rectified units, and two softmaxes give a class and a word
-within it (classes are runs of equal size in order of frequency).  A document's score
+within it (classes are runs of equal size in order of frequency).  A word in
+a bucket has the bucket's probability times its share of the bucket's occurrences in
+the corpus, smoothed by SMOOTH; the shares of the COMMON next words are looked up in the
+tasks, those of all others come from a join with the word counts.  A document's score
 is the sum of the conditional log-probabilities of all its tokens.
 
 Training is data-parallel: each round, every task trains a copy of the network on its
 part of the documents, all of which are used, and Spark averages the copies, weighed by
 tokens.  So what is gathered, word counts and copies,
-grows with the input; what is broadcast is one network of fixed size.
+grows with the input; what is broadcast, one network and the common words, is of fixed size.
 
 Defined results: null or empty text has no tokens and score 0, its mean is null; null
 doc_ids stay null; repeated rows count repeatedly; an empty table gives no rows.
@@ -42,6 +45,8 @@ ROUNDS = 2
 BATCH = 512
 RATE = 0.15
 FLUSH = 200_000
+COMMON = 20_000
+SMOOTH = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 PAD = VOCABULARY  # an embedding for places beyond a text's ends; never predicted
@@ -73,11 +78,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary(dict):
-    """Ids of tokens; the ids are ordered by frequency, and a rare word gets its bucket's."""
+    """Ids of tokens; the ids are ordered by frequency, and a rare word gets its bucket's.
 
-    def __init__(self, words: dict[str, int], buckets: list[int]):
+    `common` has the smoothed log counts of the most frequent words in buckets, `totals` for every id the log of its bucket's smoothed
+    count (0 where the id is a word's own), and `counts`, which stays on the driver, the counts of all words.
+    """
+
+    def __init__(self, words: dict[str, int], buckets: list[int], common: dict[str, float], totals: np.ndarray, counts: DataFrame | None = None):
         super().__init__(words)
-        self.fixed, self.buckets = len(words), buckets
+        self.fixed, self.buckets, self.common, self.totals, self.counts = len(words), buckets, common, totals, counts
+        self.shared = np.zeros(VOCABULARY, bool)
+        self.shared[buckets] = True
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.fixed + FLUSH:
@@ -87,33 +98,43 @@ class Vocabulary(dict):
         return n
 
     def __reduce__(self):
-        return Vocabulary, (dict([*self.items()][: self.fixed]), self.buckets)
+        return Vocabulary, (dict([*self.items()][: self.fixed]), self.buckets, self.common, self.totals)
+
+    def within(self, own: list[str], ids: np.ndarray) -> tuple[float, list[str]]:
+        """Sum of the log shares of a text's words in their buckets, but for the log counts of the words that are returned."""
+        words = [own[k] for k in np.flatnonzero(self.shared[ids]).tolist()]
+        found = [*map(self.common.get, words)]
+        return sum(x for x in found if x is not None) - self.totals[ids].sum(), [w for w, x in zip(words, found) if x is None]
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(SUFFIXES, np.int64)
+    n, types = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
     for batch in batches:
         for word, k in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
             if word not in known:
                 n[suffix(word)] += k
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIXES)), pa.array(n)], ["bucket", "n"])
+                types[suffix(word)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIXES)), pa.array(n), pa.array(types)], ["bucket", "n", "types"])
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """From the counts of all words: the most frequent ones and the buckets, numbered by falling frequency."""
     counts = written(docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SUFFIXES).collect()
-    known = {r["word"]: r["n"] for r in top}
-    rows = counts.mapInArrow(partial(_bucket_counts, known=frozenset(known)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SUFFIXES + COMMON).collect()
+    known = {r["word"]: r["n"] for r in top[: VOCABULARY - SUFFIXES]}
+    common = {r["word"]: float(np.log(r["n"] + SMOOTH)) for r in top[VOCABULARY - SUFFIXES :]}
+    rows = counts.mapInArrow(partial(_bucket_counts, known=frozenset(known)), "bucket long, n long, types long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
     buckets = {r["bucket"]: r["n"] for r in rows}
     order = sorted([*((-n, 0, w) for w, n in known.items()), *((-buckets.get(b, 0), 1, b) for b in range(SUFFIXES))], key=lambda x: (x[0], x[1], str(x[2])))
-    words, places = {}, [0] * SUFFIXES
+    words, places, totals = {}, [0] * SUFFIXES, np.zeros(VOCABULARY)
     for k, (_, is_bucket, x) in enumerate(order):
         if is_bucket:
             places[x] = k
         else:
             words[x] = k
-    return Vocabulary(words, places)
+    for r in rows:  # one more word in each bucket stands for words that were not counted
+        totals[places[r["bucket"]]] = np.log(r["n"] + SMOOTH * (r["types"] + 1))
+    return Vocabulary(words, places, common, totals, counts)
 
 
 SHAPES = {
@@ -264,22 +285,29 @@ def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUN
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocab, now) -> Iterator[pa.RecordBatch]:
-    net, find = opened(now.value), vocab.value.__getitem__
+    net, known = opened(now.value), vocab.value
+    find = known.__getitem__
     for batch in batches:
         texts = texts_of(batch)
         for a, b in slices(batch, [*map(len, texts)], 200_000):
-            ids = [np.fromiter(map(find, t), np.int32, len(t)) for t in map(tokens, texts[a:b])]
+            found = [*map(tokens, texts[a:b])]
+            ids = [np.fromiter(map(find, t), np.int32, len(t)) for t in found]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             target, around = contexts(ids)
             logs = np.concatenate([log_probabilities(net, target[k : k + 8192], around[k : k + 8192]) for k in range(0, len(target), 8192)]) if len(target) else np.zeros(0)
             sums = np.bincount(np.repeat(np.arange(len(ids)), sizes), logs, len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "log_likelihood"])
+            shares, rare = zip(*map(known.within, found, ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(sums + np.array(shares)), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "n_tokens", "log_likelihood", "rare"])
 
 
 def score(docs: DataFrame, vocab: Vocabulary, network: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural, summed over all tokens) and its mean a token."""
     context = docs.sparkSession.sparkContext
-    rows = docs.mapInArrow(partial(_score, vocab=context.broadcast(vocab), now=context.broadcast(network)), "doc_id long, n_tokens long, log_likelihood double")
+    rows = docs.mapInArrow(partial(_score, vocab=context.broadcast(vocab), now=context.broadcast(network)), "doc_id long, n_tokens long, log_likelihood double, rare array<string>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))  # doc_ids may be null or repeat
+    words = rows.select("row", F.explode("rare").alias("word")).join(vocab.counts, "word", "left")
+    logs = words.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("more"))
+    rows = rows.drop("rare").join(logs, "row", "left").select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return rows.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -233,6 +234,29 @@ def test_pseudo_likelihood_trains_on_all_documents(spark):
     assert not np.array_equal(p.train(few, vocab, share=40), p.start())
 
 
+@pytest.mark.parametrize("common", [0, 700])
+def test_pseudo_likelihood_of_words_in_buckets(spark, monkeypatch, common):
+    p = pseudo_likelihood
+    monkeypatch.setattr(p, "COMMON", common)
+    docs = documents(spark).select("doc_id", "text").limit(80)
+    counts = Counter(w for r in docs.collect() for w in p.tokens(r["text"]))
+    vocab = p.vocabulary(docs.select("text"))
+    total, types = Counter(), Counter()
+    for w, n in counts.items():
+        if vocab.shared[vocab[w]]:
+            total[vocab[w]] += n
+            types[vocab[w]] += 1
+    often, seldom = (f(((n, w) for w, n in counts.items() if vocab.shared[vocab[w]] and types[vocab[w]] > 1))[1] for f in (max, min))
+    share = lambda w: np.log((counts[w] + p.SMOOTH) / (total[vocab[w]] + p.SMOOTH * (types[vocab[w]] + 1)))
+    unseen = next(w for w in (f"zq{k}x{often[-1]}" for k in range(10**4)) if w not in counts and p.tokens(w) == [w] and total[vocab[w]])
+    rows = [(1, often), (1, seldom), (None, f"{often} {seldom} {seldom}"), (3, unseen)]
+    flat = np.zeros_like(p.start())  # every id has the probability 1 / VOCABULARY
+    got = [r["log_likelihood"] for r in p.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), vocab, flat).orderBy(F.col("doc_id").asc_nulls_last(), F.desc("log_likelihood")).collect()]
+    base = -np.log(p.VOCABULARY)
+    want = sorted([share(often) + base, share(seldom) + base], reverse=True) + [share(unseen) + base, share(often) + 2 * share(seldom) + 3 * base]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 # -- 6 and 10 ----------------------------------------------------------------
 
 
