@@ -25,6 +25,8 @@ from lanna.llm.secrets import redacted
 
 #: A text is rejected if its language is less likely than this.
 LEAST_SCORE = 0.5
+#: Texts are near duplicates if they share so many percent of their shingles.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group."""
-    kept = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    kept = written(near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(kept, docs["doc_id"].cast("long") == kept["_gone"], "left_anti")
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null")
     if ids.limit(1).count():  # repeated rows

@@ -5,10 +5,11 @@ longest character n-grams of it (5 down to 1, with marks for its ends) that are
 known, and by nothing if not even a letter is.  A text's scores are the sums over
 all its words plus the log share of the language's texts.
 
-Counts cover all labelled texts of the training fold.  The model that is broadcast
-is bounded: the words that occur at least as often as a cutoff which leaves at most
-MAX_WORDS (found from a histogram of counts, so that no sort of all words is
-needed), and the n-grams of these words.
+Counts cover all labelled texts of the training fold, words and n-grams alike: the
+n-grams are counted in Spark over all words.  The model that is broadcast is bounded:
+each language has the same part of MAX_WORDS and MAX_GRAMS, and gives its most frequent
+words and n-grams (ties in order of the text), so that none loses them to another one.
+Frequencies are relative to all that was counted in a language.
 
 Defined results: null text, or one without a letter, is `und` with score 0, and so
 is everything if no row can be learned from; null doc_ids stay null and are not in
@@ -21,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from lanna.llm.common import bounded_batches, table, texts_of, written
 
 MAX_WORDS = 60_000
+MAX_GRAMS = 200_000
 MAX_GRAM = 5
 UNKNOWN = "und"
 FLUSH = 100_000
@@ -69,32 +71,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def gram_table(words: list[str], types: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
+    """n-grams of words and the sums of the words' rows for each."""
+    index, source, target = {}, [], []
+    for k, w in enumerate(words):
+        for g in grams(w, n):
+            source.append(k)
+            target.append(index.setdefault(g, len(index)))
+    own = np.zeros((len(index), types.shape[1]))
+    np.add.at(own, np.array(target, int), types[np.array(source, int)])
+    return [*index], own
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, langs = batch.column("word").to_pylist(), batch.num_columns - 1
+        types = np.log1p(np.array([batch.column(f"n{k}").to_numpy() for k in range(langs)], float).T.reshape(-1, langs))  # n-grams stand for unseen words, so types count more than tokens
+        for n in range(1, MAX_GRAM + 1):
+            found, own = gram_table(words, types, n)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int32()), pa.array(found, pa.string()), *map(pa.array, own.T.copy())], ["size", "gram", *(f"n{k}" for k in range(langs))])
+
+
 class Model:
-    """Word and n-gram tables with a row of log frequencies each; one column a language."""
+    """Word and n-gram tables with a row of log frequencies each; one column a language.
+
+    `totals` are the counts of all words, also those without a row; `tables` has n-grams, their rows and the totals for each size from 1.
+    Without them, they are taken from `words`.
+    """
 
-    def __init__(self, langs: list[str], texts: np.ndarray, words: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], texts: np.ndarray, words: dict[str, np.ndarray], totals: np.ndarray | None = None, tables: list[tuple[list[str], np.ndarray, np.ndarray]] | None = None):
         self.langs = langs
         self.prior = np.log((texts + 1) / (texts + 1).sum()) if len(langs) else np.zeros(0)
-        self.words: dict[str, int] = {}
         self.grams: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
-        counts = np.array(list(words.values())).reshape(len(words), len(langs))
-        rows = [np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * len(words) + 1))] if len(words) else []
+        counts = np.array(list(words.values()), float).reshape(len(words), len(langs))
+        totals = counts.sum(axis=0) if totals is None else totals
+        rows = [np.log((counts + 0.05) / (totals + 0.05 * len(words) + 1))] if len(words) else []
         self.words = {w: k for k, w in enumerate(words)}
         at = len(words)
-        types = np.log1p(counts)  # n-grams stand for unseen words, so types count more than tokens
-        for n in range(1, MAX_GRAM + 1):
-            index, source, target = self.grams[n], [], []
-            for k, w in enumerate(words):
-                for g in grams(w, n):
-                    source.append(k)
-                    target.append(index.setdefault(g, len(index)))
-            if index:
-                own = np.zeros((len(index), len(langs)))
-                np.add.at(own, np.array(target), types[np.array(source)])
-                rows.append(np.log((own + 0.05) / (own.sum(axis=0) + 0.05 * len(index))))
-                for g in index:
-                    index[g] += at
-                at += len(own)
+        if tables is None:
+            tables = [(found, own, own.sum(axis=0)) for found, own in (gram_table([*words], np.log1p(counts), n) for n in range(1, MAX_GRAM + 1))]
+        for n, (found, own, whole) in enumerate(tables, 1):
+            if len(found):
+                rows.append(np.log((own + 0.05) / (whole + 0.05 * len(found))))
+                self.grams[n] = {g: at + k for k, g in enumerate(found)}
+                at += len(found)
         self.logs = (np.vstack(rows) if rows else np.zeros((0, len(langs)))).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
@@ -164,7 +184,13 @@ def _accept(batches: Iterator[pa.RecordBatch], model, column: int, least: float)
         yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, score.tolist())], pa.bool_()))
 
 
-def fit(docs: DataFrame, max_words: int = MAX_WORDS) -> Model:
+def _most(counts: DataFrame, langs: int, most: int, *names: str):
+    """Rows of `counts` that are among the `most` / `langs` most frequent of a language, as a pandas table in the order of `names`."""
+    tops = [counts.where(F.col(f"n{k}") > 0).orderBy(F.desc(f"n{k}"), *names).limit(max(1, most // langs)) for k in range(langs)]
+    return reduce(DataFrame.unionAll, tops).toPandas().drop_duplicates([*names]).sort_values([*names])
+
+
+def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learns from text and lang of the labelled documents that are not held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -172,25 +198,29 @@ def fit(docs: DataFrame, max_words: int = MAX_WORDS) -> Model:
     fold = fold.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shares = {r["lang"]: r["n"] for r in fold.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(shares)
-    counts = fold.mapInArrow(_count, "word string, lang string, n long").groupBy("word").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)])
-    counts = written(counts.where(F.col("total") > 1))  # a word seen once tells no more than its n-grams
-    bins = counts.groupBy(F.floor(F.log2("total") * 16).alias("bin")).agg(F.count("*").alias("n")).collect()  # some hundred rows
-    kept, least = 0, float("inf")
-    for b in sorted(bins, key=lambda b: -b["bin"]):
-        kept += b["n"]
-        if kept > max_words:
-            break
-        least = b["bin"]
-    top = counts.where(F.floor(F.log2("total") * 16) >= least).toPandas().sort_values("word") if least < float("inf") else None
-    words = dict(zip(top["word"], top[[f"n{k}" for k in range(len(langs))]].to_numpy(float))) if top is not None else {}
-    return Model(langs, np.array([shares[x] for x in langs], float), words)
+    if not langs:
+        return Model([], np.zeros(0), {})
+    columns = [f"n{k}" for k in range(len(langs))]
+    counts = written(fold.mapInArrow(_count, "word string, lang string, n long").groupBy("word").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for c, x in zip(columns, langs)]))
+    of_words = written(counts.mapInArrow(_gram_counts, "size int, gram string, " + ", ".join(f"{c} double" for c in columns)).groupBy("size", "gram").agg(*[F.round(F.sum(c), 6).alias(c) for c in columns]))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in columns]
+    totals = np.array(counts.agg(*sums).first(), float)
+    wholes = {r["size"]: np.array(r[1:], float) for r in of_words.groupBy("size").agg(*sums).collect()}
+    top = _most(counts, len(langs), max_words, "word")
+    words = dict(zip(top["word"], top[columns].to_numpy(float)))
+    top = _most(of_words, len(langs), max_grams, "size", "gram")
+    tables = []
+    for n in range(1, MAX_GRAM + 1):
+        own = top[top["size"] == n]
+        tables.append((own["gram"].tolist(), own[columns].to_numpy(float), wholes.get(n, np.zeros(len(langs)))))
+    return Model(langs, np.array([shares[x] for x in langs], float), words, totals, tables)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_words
+    shared = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return plain.mapInArrow(partial(_predict, model=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -103,6 +103,14 @@ def test_backoff():
     assert predict(["school", "schulen", "schoolish", "xyz"])[0][:3] == ["en", "de", "en"]
 
 
+def test_no_language_loses_its_words_to_another(spark):
+    rows = [(4 * k, " ".join(f"{chr(97 + j)}{chr(97 + k)}" for j in range(20)) + " ", "en") for k in range(20)] * 5 + [(3, "żółw żaba", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))), max_words=20)
+    assert {"żółw", "żaba"} <= set(model.words) and len(model.words) == 12
+    assert "żó" in model.grams[2] and "nb" in model.grams[2]  # n-grams of all words, also those without a row
+
+
 # -- 3 -----------------------------------------------------------------------
 
 
@@ -405,6 +413,17 @@ def test_near_duplicates(spark, monkeypatch, small, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_at_a_threshold(spark):
+    rows = []
+    for k in range(40):  # 96 shingles each; the pair shares 86 of 106, a similarity of 0.811
+        words = [f"w{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:90] + [f"v{k}x{j}" for j in range(10)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = lambda *at: {r["doc_id"] for r in minhash.near_duplicates(docs, *at).where("not kept").collect()}
+    assert gone() == set() and gone(80) == {2 * k + 1 for k in range(40)}
+    assert [(t.rows, t.bands, t.least) for t in map(minhash.Threshold, (85, 80))] == [(5, 28, 93), (4, 35, 83)]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_rows):
     got = minhash.near_duplicates(odd_rows).collect()
     assert len(got) == 9 and [r["kept"] for r in got if r["doc_id"] is None] == [True] and minhash.near_duplicates(odd_rows.limit(0)).count() == 0
