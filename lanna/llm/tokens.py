@@ -2,7 +2,10 @@
 
 Texts are cut only at places where the vocabulary's own pre-tokenizer always
 cuts, so encoding the units one by one gives the ids of the whole text.  Units
-repeat heavily, hence each worker keeps a bounded table unit -> ids.
+repeat heavily, hence each worker keeps a bounded table unit -> ids.  New units are
+encoded many at a time, as one text in which blanks, line feeds or bars part them;
+the ids that begin with such a sign tell where a unit's own ids are.  A word with
+signs after it is the word's ids and the signs'.
 """
 
 from __future__ import annotations
@@ -21,23 +24,16 @@ WORD_BPE = "word_bpe_49k.json"
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = re.compile("[\x1c-\x1f]")
 _UNIT = re.compile(r"\s*\S+|\s+")
-#: Units of letters, digits and signs, which pre-tokenizers part; no apostrophes, which may join what follows.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIGNS = r"!-&(-/:-@\[-`{-~"
-_PLAIN = re.compile(rf"[\x1c]?[{_LETTERS}]+")
-_SAFE = re.compile(rf"[\x1c\x1d]?[{_LETTERS}0-9{_SIGNS}]+")
+_SOLID = re.compile(r"\S+")
 #: Keys of units: a plain key has a blank before it, the others begin with one of these.
 _AS_IS, _LINE = "\x1c", "\x1d"
-
-
-def _byte_chars() -> dict[int, str]:
-    """The letters that byte-level vocabularies write for bytes."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-_BYTE_CHARS = _byte_chars()
+#: Signs after a word, which pre-tokenizers part from it; no apostrophe.
+_SIGNS = ".,;:!?)]}\"-/"
+#: Letters and digits that stay such by themselves whatever a vocabulary's normalizer does; Latin ones suffice.
+_ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c.lower()[-1].isalnum())
+#: Units that are encoded in one call, and what stands between them there if white space makes no ids.
+CHUNK = 2000
+_BAR = "\x7f"
 
 
 def vocabulary_path(name: str) -> str:
@@ -69,14 +65,17 @@ class UnitEncoder:
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._model, self._spaces, self._limit = self._tokenizer.model, spaces, limit
-        self._runs = re.compile(rf"[{_LETTERS}]+|[0-9]{'+' if spaces else ''}|[{_SIGNS}]+").findall
-        self.size = self._tokenizer.get_vocab_size()
+        self._spaces, self._limit, self.size = spaces, limit, self._tokenizer.get_vocab_size()
+        names = self._tokenizer.get_vocab()
+        self._begins = {sign: np.zeros(max(names.values(), default=0) + 1, bool) for sign in (" ", "\n", _BAR)}
+        for sign, mark in ((" ", "\u0120"), ("\n", "\u010a")):  # how byte-level vocabularies write a blank and a line feed
+            self._begins[sign][[n for name, n in names.items() if name[0] == mark]] = True
+        self._begins[_BAR][self._direct([_BAR])[0]] = True
         self._clear()
 
     def _clear(self) -> None:
         self._index = _Index()
-        self._offset = np.zeros(1, np.int64)
+        self._start, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where a unit's ids are in _ids
         self._ids = np.zeros(0, np.uint32)
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
@@ -90,55 +89,71 @@ class UnitEncoder:
             return (_AS_IS + text.replace("\n", " " + _LINE)).split(" ")
         return [u[1:] if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else _AS_IS + u for u in _UNIT.findall(text)]
 
-    def _unit(self, key: str) -> str:
-        if not self._spaces:
-            return key.removeprefix(_AS_IS)
-        return key[1:] if key[0] == _AS_IS else "\n" + key[1:] if key[0] == _LINE else " " + key
-
-    def _word(self, key: str) -> list[int]:
-        """Ids of letters with or without a blank before them: no pre-tokenizer parts these, so the model takes them as they are."""
-        if self._spaces:
-            text = key[1:] if key[0] == _AS_IS else "Ġ" + key  # Ġ stands for a blank
-            if not text.isascii():
-                text = text.encode()[2:] if text[0] == "Ġ" else text.encode()
-                text = ("Ġ" if key[0] != _AS_IS else "") + text.decode("latin-1").translate(_BYTE_CHARS)
-        else:
-            text = key.lower()
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return [t.id for t in self._model.tokenize(text)]
+    def _parted(self, units: list[str], sign: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, each with `sign` before it, and their counts."""
+        flat, counts, between = [], [], sign if self._spaces else f" {sign} "
+        chunks = [units[k : k + CHUNK] for k in range(0, len(units), CHUNK)]
+        for own, ids in zip(chunks, self._direct([between + between.join(x) for x in chunks])):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(self._begins[sign][ids])
+            if len(at) != len(own) or at[0]:  # the vocabulary joins the sign with something else
+                each = self._direct([between + u for u in own])
+                ids, n = np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(own))
+            else:
+                n = np.diff(at, append=len(ids))
+            flat.append(ids)
+            counts.append(n)
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _learn(self) -> None:
         """Adds the ids of the units that the index met for the first time."""
-        index, joined, other = self._index, {}, []
+        index = self._index
+        groups: dict[str, tuple[list[int], list[str]]] = {kind: ([], []) for kind in (" ", "\n", _AS_IS, _BAR, "")}
+        joined: list[tuple[int, int, int]] = []
         first = len(index) - len(index.new)
-        new: list = []
-        for key in index.new:  # grows by the runs of units
-            if _PLAIN.fullmatch(key):
-                new.append(self._word(key))
+        for k, key in enumerate(index.new, first):  # grows by the parts of units
+            if key[-1] in _SIGNS and (bare := key.rstrip(_SIGNS))[-1:] in _ENDS:
+                joined.append((k, index[bare], index[_AS_IS + key[len(bare) :] if self._spaces else key[len(bare) :]]))
                 continue
-            new.append(())
-            if _SAFE.fullmatch(key) and (len(runs := self._runs(key)) > 1 or key[0] == _LINE):
-                if self._spaces:
-                    keys = [_AS_IS + r for r in runs]
-                    if key[0] == _LINE:
-                        keys.insert(0, _AS_IS + "\n")
-                    elif key[0] != _AS_IS:
-                        keys[0] = runs[0]
-                else:
-                    keys = runs
-                joined[len(new) - 1] = [index[k] for k in keys]
+            if not self._spaces:
+                kind, unit = "" if _BAR in key else _BAR, key
+            elif key[0] == _LINE:
+                kind, unit = "\n", key[1:]
+            elif key[0] == _AS_IS:
+                kind, unit = (_AS_IS if _SOLID.fullmatch(key, 1) else ""), key[1:]
             else:
-                other.append((len(new) - 1, self._unit(key)))
-        for (at, _), ids in zip(other, self._direct([u for _, u in other])):
-            new[at] = ids
-        for at, parts in joined.items():
-            new[at] = [i for k in parts for i in (new[k - first] if k >= first else self._ids[self._offset[k] : self._offset[k + 1]].tolist())]
+                kind, unit = " ", key
+            groups[kind][0].append(k)
+            groups[kind][1].append(unit)
         index.new = []
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        self._offset = np.concatenate([self._offset, self._offset[-1] + np.cumsum(lengths)])
-        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(lengths.sum()))
-        self._ids = np.concatenate([self._ids, flat])
+        more = np.zeros(len(index) - first, np.int64)
+        self._start, self._count, ids, at = np.concatenate([self._start, more]), np.concatenate([self._count, more]), [self._ids], len(self._ids)
+        for kind, (places, units) in groups.items():
+            if not units:
+                continue
+            if kind:
+                flat, counts = self._parted(units, "\n" if kind == _AS_IS else kind)
+                if kind in (_AS_IS, _BAR):  # these units have no sign of their own
+                    flat, counts = np.delete(flat, np.cumsum(counts) - counts), counts - 1
+            else:
+                each = self._direct(units)
+                flat, counts = np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+            ids.append(flat)
+            self._start[places], self._count[places] = at + np.cumsum(counts) - counts, counts
+            at += len(flat)
+        self._ids = np.concatenate(ids)
+        if joined:
+            of = np.array(joined, np.int64)
+            flat, ends = self._gathered(of[:, 1:].ravel())
+            self._count[of[:, 0]] = self._count[of[:, 1]] + self._count[of[:, 2]]
+            self._start[of[:, 0]] = at + ends[1::2] - self._count[of[:, 0]]
+            self._ids = np.concatenate([self._ids, flat])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units one after another, and where each unit's end."""
+        counts = self._count[at]
+        ends = np.cumsum(counts)
+        return self._ids[np.repeat(self._start[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def encode(self, texts: list[str], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's count; `tail` is put after each text."""
@@ -156,10 +171,7 @@ class UnitEncoder:
         if self._index.new:
             self._learn()
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        starts = self._offset[at]
-        lengths = self._offset[at + 1] - starts
-        ends = np.cumsum(lengths)
-        flat = self._ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        flat, ends = self._gathered(at)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])]
         if tail is None and not direct:
             return flat, np.diff(bounds)
