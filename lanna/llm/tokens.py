@@ -31,9 +31,11 @@ _AS_IS, _LINE = "\x1c", "\x1d"
 _SIGNS = ".,;:!?)]}\"-/"
 #: Letters and digits that stay such by themselves whatever a vocabulary's normalizer does; Latin ones suffice.
 _ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c.lower()[-1].isalnum())
-#: Units that are encoded in one call, and what stands between them there if white space makes no ids.
-CHUNK = 2000
+#: Units that are encoded in one text, and what stands between them there if white space makes no ids.
+CHUNK = 128
 _BAR = "\x7f"
+#: A unit that was met so often since the table was last shortened stays in it.
+_OFTEN = 3
 
 
 def vocabulary_path(name: str) -> str:
@@ -59,7 +61,7 @@ class UnitEncoder:
 
     def __init__(self, path: str, spaces: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
@@ -67,6 +69,12 @@ class UnitEncoder:
         self._tokenizer.no_padding()
         self._spaces, self._limit, self.size = spaces, limit, self._tokenizer.get_vocab_size()
         names = self._tokenizer.get_vocab()
+        # ASCII letters are one word for every pre-tokenizer, so the vocabulary's model takes them without it.
+        self._letters = Tokenizer(self._tokenizer.model)
+        self._letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self._letters.model._resize_cache(0)  # each new word comes once
+        self._ends = np.zeros(max(names.values(), default=0) + 1, bool)
+        self._ends[[n for name, n in names.items() if name.endswith("</w>")]] = True
         self._begins = {sign: np.zeros(max(names.values(), default=0) + 1, bool) for sign in (" ", "\n", _BAR)}
         for sign, mark in ((" ", "\u0120"), ("\n", "\u010a")):  # how byte-level vocabularies write a blank and a line feed
             self._begins[sign][[n for name, n in names.items() if name[0] == mark]] = True
@@ -77,6 +85,39 @@ class UnitEncoder:
         self._index = _Index()
         self._start, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where a unit's ids are in _ids
         self._ids = np.zeros(0, np.uint32)
+        self._seen = np.zeros(0, np.int64)
+
+    def _shorten(self) -> None:
+        """Drops the units that were met seldom, so that the table stays bounded."""
+        keep = np.flatnonzero(self._seen >= _OFTEN)
+        if len(keep) > self._limit // 2:
+            keep = keep[np.argsort(-self._seen[keep], kind="stable")[: self._limit // 2]]
+        names = [*self._index]
+        ids, ends = self._gathered(keep)
+        counts = self._count[keep]
+        self._clear()
+        for k in keep.tolist():
+            self._index[names[k]] = len(self._index)
+        self._ids, self._start, self._count, self._seen = ids, ends - counts, counts, np.zeros(len(keep), np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words of ASCII letters, each after a blank."""
+        flat, counts = [], []
+        mark = "\u0120" if self._spaces else ""
+        texts = [mark + f" {mark}".join(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
+        for k, e in enumerate(self._letters.encode_batch_fast(texts if self._spaces else [*map(str.lower, texts)], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            if self._spaces:
+                n = np.diff(np.flatnonzero(self._begins[" "][ids]), append=len(ids))
+            else:
+                n = np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)
+            own = words[k * CHUNK : (k + 1) * CHUNK]
+            if len(n) != len(own) or n.sum() != len(ids):  # a vocabulary without such marks
+                each = self._direct([" " + w for w in own])
+                ids, n = np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+            flat.append(ids)
+            counts.append(n)
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,10 +149,15 @@ class UnitEncoder:
     def _learn(self) -> None:
         """Adds the ids of the units that the index met for the first time."""
         index = self._index
-        groups: dict[str, tuple[list[int], list[str]]] = {kind: ([], []) for kind in (" ", "\n", _AS_IS, _BAR, "")}
+        groups: dict[str, tuple[list[int], list[str]]] = {kind: ([], []) for kind in ("a", " ", "\n", _AS_IS, _BAR, "")}
+        plain_at, plain = groups["a"]
         joined: list[tuple[int, int, int]] = []
         first = len(index) - len(index.new)
         for k, key in enumerate(index.new, first):  # grows by the parts of units
+            if key.isascii() and key.isalpha():
+                plain_at.append(k)
+                plain.append(key)
+                continue
             if key[-1] in _SIGNS and (bare := key.rstrip(_SIGNS))[-1:] in _ENDS:
                 joined.append((k, index[bare], index[_AS_IS + key[len(bare) :] if self._spaces else key[len(bare) :]]))
                 continue
@@ -127,11 +173,14 @@ class UnitEncoder:
             groups[kind][1].append(unit)
         index.new = []
         more = np.zeros(len(index) - first, np.int64)
-        self._start, self._count, ids, at = np.concatenate([self._start, more]), np.concatenate([self._count, more]), [self._ids], len(self._ids)
+        self._start, self._count = np.concatenate([self._start, more]), np.concatenate([self._count, more])
+        ids, at = [self._ids], len(self._ids)
         for kind, (places, units) in groups.items():
             if not units:
                 continue
-            if kind:
+            if kind == "a":
+                flat, counts = self._words(units)
+            elif kind:
                 flat, counts = self._parted(units, "\n" if kind == _AS_IS else kind)
                 if kind in (_AS_IS, _BAR):  # these units have no sign of their own
                     flat, counts = np.delete(flat, np.cumsum(counts) - counts), counts - 1
@@ -158,7 +207,7 @@ class UnitEncoder:
     def encode(self, texts: list[str], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's count; `tail` is put after each text."""
         if len(self._index) > self._limit:
-            self._clear()
+            self._shorten()
         found, counts, direct, at = self._index.__getitem__, [], {}, []
         for k, text in enumerate(texts):
             if _ODD.search(text):
@@ -171,6 +220,8 @@ class UnitEncoder:
         if self._index.new:
             self._learn()
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self._seen = np.pad(self._seen, (0, len(self._index) - len(self._seen)))
+        self._seen += np.bincount(at, minlength=len(self._seen))
         flat, ends = self._gathered(at)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])]
         if tail is None and not direct:
