@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, slices, table, texts_of
+from lanna.llm.common import BATCH_BYTES, bounded_batches, slices, table, texts_of
 from lanna.llm.tokens import WORD_BPE, encoder, vocabulary_path
 
 WINDOW = 2048
@@ -133,7 +133,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, o
 
     for batch in batches:
         texts, docs = texts_of(batch), batch.column("doc_id").to_pylist()
-        for a, b in slices(batch, [*map(len, texts)]):
+        for a, b in slices(batch, [*map(len, texts)], BATCH_BYTES):
             flat, sizes = enc.encode(texts[a:b], end)
             flat, at = flat.astype("<u4"), 0
             for doc, size in zip(docs[a:b], sizes.tolist()):

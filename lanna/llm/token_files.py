@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, forget, shared_dir, slices, table, texts_of, written
+from lanna.llm.common import BATCH_BYTES, bounded_batches, forget, shared_dir, slices, table, texts_of, written
 from lanna.llm.tokens import BYTE_BPE, encoder, vocabulary_path
 
 END_ID = 2
@@ -78,16 +78,21 @@ def decode_ranks(control: bytes, data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, ids: the ids of each text as compressed little-endian integers."""
+    """doc_id, n, ids: the ids of each text as compressed little-endian integers; at last a row with n = -1 and the counts of all ids."""
     enc, pack = encoder(path, True), zstandard.ZstdCompressor(1)
-    kind = np.uint16 if max(enc.size, end + 1) <= 1 << 16 else np.uint32
+    kind, seen = np.uint16 if max(enc.size, end + 1) <= 1 << 16 else np.uint32, np.zeros(0, np.int64)
     for batch in batches:
         texts = texts_of(batch)
-        for a, b in slices(batch, [*map(len, texts)]):
+        for a, b in slices(batch, [*map(len, texts)], BATCH_BYTES):
             flat, sizes = enc.encode(texts[a:b], end)
             flat, ends = flat.astype(kind), np.cumsum(sizes)
             ids = [pack.compress(flat[e - n : e].tobytes()) for e, n in zip(ends, sizes)]
+            now = np.bincount(flat)
+            if len(now) > len(seen):
+                now, seen = seen, now
+            seen[: len(now)] += now
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "ids"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +104,11 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(0, np.int64)
     for batch in batches:
-        if batch.num_rows:
-            now = np.bincount(_unpacked(batch)[1])
-            if len(now) > len(seen):
-                now, seen = seen, now
-            seen[: len(now)] += now
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
+        for raw in batch.column("ids").to_pylist():
+            seen = np.frombuffer(raw, "<i8")
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -190,14 +191,14 @@ def write_token_files(docs: DataFrame, to: str, vocabulary: str = BYTE_BPE, end_
     bounded_batches(spark)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = written(plain.mapInArrow(partial(_ids, path=vocabulary_path(vocabulary), end=end_id), "doc_id long, n long, ids binary"), "none")
-    counts = ids.select("n", "ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row an id of the vocabulary at most
+    counts = ids.where("n < 0").select("ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row an id of the vocabulary at most
     counts = counts.sort_values(["n", "id"], ascending=[False, True])
     by_rank, total = counts["id"].to_numpy(np.uint32), int(counts["n"].sum()) if len(counts) else 0
     if not total:
         by_rank = np.zeros(1, np.uint32)
     files = max(1, -(-total // file_ids))
     # The text source writes a value's bytes as they are and a line feed; Spark's commit protocol keeps files of failed attempts out.
-    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = ids.where("n >= 0").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(partial(_blocks, by_rank=by_rank), "value binary").select(F.col("value").cast("string")).write.text(to)
 
 

@@ -16,6 +16,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -34,6 +36,8 @@ _ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c.lower()
 #: Units that are encoded in one text, and what stands between them there if white space makes no ids.
 CHUNK = 128
 _BAR = "\x7f"
+#: Longer texts aren't put into Arrow's arrays.
+LONG = 1 << 26
 #: A unit that was met so often since the table was last shortened stays in it.
 _OFTEN = 3
 
@@ -122,14 +126,38 @@ class UnitEncoder:
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _line(self, text: str) -> str | None:
+        """A text whose units' keys are parted by single blanks, if that is so simple."""
+        if not text or len(text) > LONG or _OTHER.search(text):
+            return None
+        if not self._spaces:
+            return text.replace("\n", " ")
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        return _AS_IS + text.replace("\n", " " + _LINE)
+
     def _keys(self, text: str) -> list[str]:
-        """Keys of a text's units."""
+        """Keys of any other text's units."""
         if not self._spaces:
             return text.split()
-        if text and not (_OTHER.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"):
-            return (_AS_IS + text.replace("\n", " " + _LINE)).split(" ")
         return [u[1:] if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else _AS_IS + u for u in _UNIT.findall(text)]
 
+    def _units(self, lines: list[str]) -> list[np.ndarray]:
+        """Numbers of the units of lines; each different unit is looked up once."""
+        words = pc.split_pattern(pa.array(lines, pa.string()), " ")
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        empty = keys.index("") if not self._spaces and "" in keys else -1
+        if empty >= 0:
+            keys[empty] = "a"  # any word; it is left out below
+        numbers = np.fromiter(map(self._index.__getitem__, keys), np.int64, len(keys))
+        if empty >= 0:
+            numbers[empty] = -1
+        numbers = numbers[coded.indices.to_numpy()]
+        own = np.split(numbers, ends[:-1]) if len(lines) else []
+        return [x[x >= 0] for x in own] if empty >= 0 else own
+
     def _parted(self, units: list[str], sign: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, each with `sign` before it, and their counts."""
         flat, counts, between = [], [], sign if self._spaces else f" {sign} "
@@ -208,15 +236,19 @@ class UnitEncoder:
         """All ids, one text after another, and each text's count; `tail` is put after each text."""
         if len(self._index) > self._limit:
             self._shorten()
-        found, counts, direct, at = self._index.__getitem__, [], {}, []
+        direct, at, lines = {}, [np.zeros(0, np.int64)] * len(texts), {}
         for k, text in enumerate(texts):
-            if _ODD.search(text):
+            line = self._line(text)
+            if line is not None:
+                lines[k] = line
+            elif _ODD.search(text):
                 direct[k] = np.asarray(self._direct([text])[0], np.uint32)
-                counts.append(0)
-                continue
-            own = self._keys(text)
-            at.append(np.fromiter(map(found, own), np.int64, len(own)))
-            counts.append(len(own))
+            else:
+                own = self._keys(text)
+                at[k] = np.fromiter(map(self._index.__getitem__, own), np.int64, len(own))
+        for k, own in zip(lines, self._units([*lines.values()])):
+            at[k] = own
+        counts = [*map(len, at)]
         if self._index.new:
             self._learn()
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
