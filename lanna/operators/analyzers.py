@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanna.functions.scalar import keyboard_text
 from lanna.operators import filters
 from lanna.operators.normalize import normalize
-from lanna.operators.segment import MODES, tokens
+from lanna.operators.segment import MODES, SPACE, WORD, tokens
 from lanna.session import ship
 from lanna.sources.dictionary import Lexicon
 
 #: Pieces of text without Thai, white space included, as the segmenter cuts them.
-PIECE = r"[a-zA-Z]+(?:[-_'][a-zA-Z0-9]+)*|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?%?|[ \t]+|\r?\n|[^\x{0E00}-\x{0E7F}a-zA-Z0-9 \t\r\n]"
-WORD = r"[a-zA-Z]+(?:[-_'][a-zA-Z0-9]+)*|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?%?|[^\x{0E00}-\x{0E7F}a-zA-Z0-9 \t\r\n]"
+PIECE = f"{WORD}|{SPACE}"
 
 
 def native_terms(text: Column) -> Column:
@@ -25,29 +28,50 @@ def native_terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def native_token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row a token of text without Thai: key, position, term, start, end; offsets are running sums of the pieces' lengths."""
-    pieces = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"{PIECE}|[\\s\\S]"), F.lit(0))).alias("n", "term"))
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    blank = F.col("term").rlike(r"^[ \t\r\n]*$")
-    placed = pieces.select(key, "term", F.sum(F.length("term")).over(before).alias("end"), (F.sum(F.when(blank, 0).otherwise(1)).over(before) - 1).alias("position"))
-    return placed.where(~blank).select(key, "position", "term", (F.col("end") - F.length("term")).alias("start"), "end")
+class Cutter:
+    """A vectorized function from a text column to tokens; the lexicon is broadcast once.  Null text gives an empty array.
 
+    Python steps that follow in a chain run in the same pass.
+    """
 
-def segmenter(spark: SparkSession, mode: str = "none", lexicon: Lexicon | None = None, utf16: bool = False) -> Callable[[Column], Column]:
-    """A vectorized function from text to tokens; the lexicon is broadcast once.  Null text gives an empty array."""
-    ship(spark)
-    if mode.lower() not in MODES:
-        raise ValueError(f"unknown decompound mode {mode}")
-    shared = None if lexicon is None else spark.sparkContext.broadcast(lexicon)
+    def __init__(self, spark: SparkSession, mode: str = "none", lexicon: Lexicon | None = None, utf16: bool = False, steps: filters.Steps | None = None):
+        ship(spark)
+        if mode.lower() not in MODES:
+            raise ValueError(f"unknown decompound mode {mode}")
+        self.mode, self.utf16, self.steps = mode, utf16, steps or filters.Steps()
+        self.shared = lexicon if lexicon is None or isinstance(lexicon, Broadcast) else spark.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf(filters.TOKENS)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = None if shared is None else shared.value
-        for texts in batches:
-            yield texts.map(lambda t: [dict(zip(filters.FIELDS, x)) for x in tokens(t, mode, words, utf16)] if t else [])
+    def then(self, steps: filters.Steps) -> Cutter:
+        other = copy(self)
+        other.steps = filters.Steps(*self.steps.steps, *steps.steps)
+        return other
+
+    def __call__(self, column: Column) -> Column:
+        mode, utf16, shared, rows = self.mode, self.utf16, self.shared, self.steps.rows
+
+        @F.arrow_udf(filters.TOKENS)
+        def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            words = None if shared is None else shared.value
+            for texts in batches:
+                yield filters.token_arrays([rows(tokens(t, mode, words, utf16)) if t else [] for t in texts.to_pylist()])
+
+        return apply(column)
+
+
+def segmenter(spark: SparkSession, mode: str = "none", lexicon: Lexicon | None = None, utf16: bool = False) -> Cutter:
+    """A function from text to tokens."""
+    return Cutter(spark, mode, lexicon, utf16)
 
-    return apply
+
+def final_offsets(text: Column, utf16: bool = False) -> Column:
+    """Where the token streams of a column end: the whole length, white space included."""
+    return F.coalesce(F.length(text) + (F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")) if utf16 else 0), F.lit(0))
+
+
+def native_token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A row a token of text without Thai: key, position, term, start, end; a text's offsets are found in one pass over it, so nothing is shuffled."""
+    cut = df.select(key, segmenter(df.sparkSession)(F.col(text)).alias("tokens"))
+    return cut.select(key, F.posexplode("tokens").alias("position", "t")).select(key, F.col("position").cast("long").alias("position"), "t.term", F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("end"))
 
 
 def normalized(spark: SparkSession) -> Callable[[Column], Column]:
@@ -68,8 +92,17 @@ def keyword(spark: SparkSession) -> Callable[[Column], Column]:
 
 
 def chain(steps: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:
-    """Filters one after another."""
-    return lambda column: reduce(lambda c, step: step(c), steps, column)
+    """Functions one after another; Python steps side by side, and those after a segmenter, become one."""
+    merged: list = []
+    for step in steps:
+        last = merged[-1] if merged else None
+        if isinstance(step, filters.Steps) and isinstance(last, Cutter):
+            merged[-1] = last.then(step)
+        elif isinstance(step, filters.Steps) and isinstance(last, filters.Steps):
+            merged[-1] = filters.Steps(*last.steps, *step.steps)
+        else:
+            merged.append(step)
+    return lambda column: reduce(lambda c, step: step(c), merged, column)
 
 
 def analyzer(spark: SparkSession, mode: str = "none", normalization: bool = True, stop_words: list[str] | None = None, lexicon: Lexicon | None = None) -> Callable[[Column], Column]:
@@ -78,8 +111,7 @@ def analyzer(spark: SparkSession, mode: str = "none", normalization: bool = True
     steps.append(filters.lowercase)
     if stop_words:
         steps.append(lambda c: filters.stop(c, stop_words))
-    cut = segmenter(spark, mode, lexicon)
-    return lambda text: chain(steps)(cut(text))
+    return chain([segmenter(spark, mode, lexicon), *steps])
 
 
 def person_analyzer(spark: SparkSession, mode: str = "mixed", tone: bool = True, soundex: bool = True, normalization: bool = True, lexicon: Lexicon | None = None) -> Callable[[Column], Column]:
@@ -88,8 +120,7 @@ def person_analyzer(spark: SparkSession, mode: str = "mixed", tone: bool = True,
     steps.append(filters.lowercase)
     steps += [filters.tone] if tone else []
     steps += [filters.soundex] if soundex else []
-    cut = segmenter(spark, mode, lexicon)
-    return lambda text: chain(steps)(cut(text))
+    return chain([segmenter(spark, mode, lexicon), *steps])
 
 
 #: The presets' names.
@@ -100,15 +131,23 @@ FILTERS = {
     "thai_number": filters.number, "thai_acronym": lambda **s: lambda c: filters.acronym(c, **s), "thai_romanization": filters.romanization,
     "thai_collation": lambda **s: lambda c: filters.collation(c, **s), "normalization": lambda: filters.normalization(), "lowercase": lambda: filters.lowercase, "stop": lambda words: lambda c: filters.stop(c, words),
 }
-#: The order in which filters are best chained.
-ORDER = ("normalization", "lowercase", "thai_keyboard", "thai_soundex", "thai_tone", "thai_number", "thai_acronym", "thai_romanization", "thai_collation")
+#: The order in which filters are best chained, after a character filter.
+ORDER = ("thai_keyboard_text", "normalization", "lowercase", "thai_keyboard", "thai_soundex", "thai_tone", "thai_number", "thai_acronym", "thai_romanization", "thai_collation")
 
 
 def custom(spark: SparkSession, names: list[str], mode: str = "none", lexicon: Lexicon | None = None, settings: dict[str, dict] | None = None) -> Callable[[Column], Column]:
     """A chain of named filters after segmentation; an unknown name is an error."""
-    cut = segmenter(spark, mode, lexicon)
-    steps = [FILTERS[n](**(settings or {}).get(n, {})) for n in names]
-    return lambda text: chain(steps)(cut(text))
+    return chain([segmenter(spark, mode, lexicon), *(FILTERS[n](**(settings or {}).get(n, {})) for n in names)])
+
+
+def recommended(spark: SparkSession, names: list[str], mode: str = "none", lexicon: Lexicon | None = None, settings: dict[str, dict] | None = None) -> Callable[[Column], Column]:
+    """The named filters in the best order; `thai_keyboard_text` converts the text before it is cut."""
+    unknown = set(names) - set(ORDER)
+    if unknown:
+        raise KeyError(*sorted(unknown))
+    how = custom(spark, [n for n in ORDER[1:] if n in names], mode, lexicon, settings)
+    way = (settings or {}).get(ORDER[0], {})
+    return (lambda text: how(keyboard_text(text, **way))) if ORDER[0] in names else how
 
 
 def analyzed(df: DataFrame, text: str, how: Callable[[Column], Column], into: str = "tokens") -> DataFrame:
@@ -118,13 +157,9 @@ def analyzed(df: DataFrame, text: str, how: Callable[[Column], Column], into: st
 
 def rows(df: DataFrame, key: str, tokens_column: str = "tokens") -> DataFrame:
     """A row a token, with its absolute position in the token graph."""
-    first = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<struct<position:int,t:{filters.TOKEN}>>").alias("seen"))
-
-    def step(state: Column, t: Column) -> Column:
-        at = state["at"] + t["pos_inc"]
-        return F.struct(at.alias("at"), F.concat(state["seen"], F.array(F.struct(at.alias("position"), t.alias("t")))).alias("seen"))
-
-    placed = F.aggregate(tokens_column, first, step, lambda s: s["seen"])
+    tokens = F.col(tokens_column)
+    positions = filters.running("sum")(F.transform(tokens, lambda t: t["pos_inc"]))
+    placed = F.zip_with(tokens, positions, lambda t, p: F.struct((p - 1).alias("position"), t.alias("t")))
     return df.select(key, F.explode(placed).alias("x")).select(key, "x.position", "x.t.*")
 
 

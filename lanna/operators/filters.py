@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lanna.functions import scalar
 from lanna.operators.normalize import normalize
+from lanna.operators.numbers import merge_numbers
 from lanna.operators.romanize import romanize
 
 TOKEN = "struct<term:string,start:int,end:int,pos_inc:int,pos_len:int,type:string>"
 TOKENS = f"array<{TOKEN}>"
+#: Tokens of this type keep their spelling.
+KEYWORD = "<KEYWORD>"
 FIELDS = ("term", "start", "end", "pos_inc", "pos_len", "type")
 
 
@@ -37,20 +41,37 @@ def variants(tokens: Column, make: Callable[[Column], Column], kind: str, keep:
     return F.flatten(F.transform(tokens, one))
 
 
-def outside_compounds(tokens: Column) -> Column:
-    """Tokens with a field `inside`: whether they lie in a compound's span before them.
+def _nested(of: pa.Array, values: np.ndarray | pa.Array) -> pa.ListArray:
+    """Lists as long as those of `of` with other values."""
+    lengths = np.diff(of.offsets.to_numpy())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def running(kind: str) -> Callable[[Column], Column]:
+    """A vectorized function over arrays of int: `sum`, the running sums of each; or `carry`, of each place the last value above 0 before it, else -1."""
 
-    A token of position length above 1 opens a span up to its end; it closes at the
-    first plain token that begins at or after that.
-    """
-    first = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<struct<t:{TOKEN},inside:boolean>>").alias("seen"))
+    @F.arrow_udf("array<int>")
+    def apply(column: pa.Array) -> pa.Array:
+        column = column.fill_null([]) if column.null_count else column
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = np.diff(column.offsets.to_numpy())
+        starts = np.cumsum(lengths) - lengths
+        if kind == "sum":
+            sums = np.concatenate([[0], np.cumsum(flat)])
+            out = sums[1:] - np.repeat(sums[starts], lengths)
+        else:
+            at = np.arange(len(flat))
+            last = np.concatenate([[-1], np.maximum.accumulate(np.where(flat > 0, at, -1))])[:-1] if len(flat) else at
+            out = np.where(last >= np.repeat(starts, lengths), flat[last], -1) if len(flat) else flat
+        return _nested(column, pa.array(out.astype(np.int32)))
+
+    return apply
 
-    def step(state: Column, t: Column) -> Column:
-        end = F.when(t["pos_len"] > 1, t["end"]).when(t["start"] >= state["end"], -1).otherwise(state["end"])
-        inside = (t["pos_len"] <= 1) & (t["start"] < end)
-        return F.struct(end.alias("end"), F.concat(state["seen"], F.array(F.struct(t.alias("t"), inside.alias("inside")))).alias("seen"))
 
-    return F.aggregate(tokens, first, step, lambda s: s["seen"])
+def outside_compounds(tokens: Column) -> Column:
+    """Tokens with a field `inside`: whether they lie in the span of the last compound, a token of position length above 1, before them."""
+    ends = running("carry")(F.transform(tokens, lambda t: F.when(t["pos_len"] > 1, t["end"]).otherwise(0)))
+    return F.zip_with(tokens, ends, lambda t, end: F.struct(t.alias("t"), ((t["pos_len"] <= 1) & (t["start"] < end)).alias("inside")))
 
 
 def _guarded(tokens: Column, make: Callable[[Column], Column], kind: str, keep: bool, compounds: bool) -> Column:
@@ -89,29 +110,54 @@ def tone(tokens: Column, keep: bool = True, tones: bool = True, thanthakhat: boo
     return _guarded(tokens, make, "<TONE_STRIPPED>", keep, compounds)
 
 
-def number(keep: bool = True, digits: bool = True, words: bool = True, least: int = 0) -> Callable[[Column], Column]:
-    """Thai digits and runs of adjoining number words as ASCII numbers; a vectorized function, as runs merge tokens."""
-    from lanna.operators.numbers import merge_numbers
+class Steps:
+    """Filters in Python: functions from a list of tokens to another.  Steps that follow one another in a chain cross to Python once."""
 
-    @F.pandas_udf(TOKENS)
-    def apply(column: pd.Series) -> pd.Series:
-        return column.map(lambda ts: merge_numbers([_row(t) for t in ts], keep, digits, words, least) if ts is not None else None).map(_dicts)
+    def __init__(self, *steps: Callable[[list[tuple]], list[tuple]]):
+        self.steps = steps
 
-    return apply
+    def rows(self, tokens: list[tuple]) -> list[tuple]:
+        for step in self.steps:
+            tokens = step(tokens)
+        return tokens
 
+    def __call__(self, column: Column) -> Column:
+        rows = self.rows
 
-def normalization() -> Callable[[Column], Column]:
-    """Canonical spelling of every term; a vectorized function, as marks move step by step."""
+        @F.arrow_udf(TOKENS)
+        def apply(tokens: pa.Array) -> pa.Array:
+            fields = [x.to_pylist() for x in tokens.flatten().flatten()] if len(tokens) else [[]] * len(FIELDS)
+            flat, ends = list(zip(*fields)), tokens.offsets.to_pylist()
+            base = ends[0] if ends else 0
+            return token_arrays([rows(flat[a - base : b - base]) if ok else None for a, b, ok in zip(ends, ends[1:], tokens.is_valid().to_pylist())])
 
-    @F.pandas_udf(TOKENS)
-    def apply(column: pd.Series) -> pd.Series:
-        return column.map(lambda ts: [(normalize(r[0]), *r[1:]) for r in map(_row, ts)] if ts is not None else None).map(_dicts)
+        return apply(column)
+
+
+_FIELD_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+
+def token_arrays(rows: list[list[tuple] | None]) -> pa.Array:
+    """Lists of tokens as an Arrow array, field by field."""
+    flat = [t for own in rows if own for t in own]
+    columns = zip(*flat) if flat else [()] * len(FIELDS)
+    fields = [pa.array(x, kind) for x, kind in zip(columns, _FIELD_TYPES)]
+    ends = np.concatenate([[0], np.cumsum([len(x or ()) for x in rows], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, FIELDS), mask=pa.array([x is None for x in rows]))
 
-    return apply
 
+def number(keep: bool = True, digits: bool = True, words: bool = True, least: int = 0) -> Steps:
+    """Thai digits and runs of adjoining number words as ASCII numbers; in Python, as runs merge tokens."""
+    return Steps(lambda tokens: merge_numbers(tokens, keep, digits, words, least))
 
-def romanization(keep: bool = True, table: dict[str, tuple[str, ...]] | None = None) -> Callable[[Column], Column]:
-    """All Latin spellings of a term; without `keep` the first takes its place and the others follow."""
+
+def normalization() -> Steps:
+    """Canonical spelling of every term but those of `keyword` type; in Python, as marks move step by step."""
+    return Steps(lambda tokens: [t if t[5] == KEYWORD else (normalize(t[0]), *t[1:]) for t in tokens])
+
+
+def romanization(keep: bool = True, table: dict[str, tuple[str, ...]] | None = None) -> Steps:
+    """All Latin spellings of a term; without `keep` the first takes its place and the others follow.  `table`: see `load_spellings`."""
 
     def spell(rows: list[tuple]) -> list[tuple]:
         out = []
@@ -122,23 +168,11 @@ def romanization(keep: bool = True, table: dict[str, tuple[str, ...]] | None = N
             out += [(x, r[1], r[2], r[3] if not keep and k == 0 else 0, r[4], "<ROMANIZATION>") for k, x in enumerate(made)]
         return out
 
-    @F.pandas_udf(TOKENS)
-    def apply(column: pd.Series) -> pd.Series:
-        return column.map(lambda ts: spell([_row(t) for t in ts]) if ts is not None else None).map(_dicts)
-
-    return apply
-
+    return Steps(spell)
 
-def _row(t) -> tuple:
-    return tuple(t[f] for f in FIELDS)
 
-
-def _dicts(rows: list[tuple] | None) -> list[dict] | None:
-    return None if rows is None else [dict(zip(FIELDS, (r[0], *map(int, r[1:5]), r[5]))) for r in rows]
-
-
-def acronym(tokens: Column, keep: bool = True, both_ways: bool = False, normalize_dots: bool = True, table: list[tuple[str, str, int]] | None = None) -> Column:
-    """Expansions of short forms, also of those written without full stops, and with `both_ways` short forms of expansions; maps of fixed size, as literals."""
+def acronym(tokens: Column, keep: bool = True, both_ways: bool = False, normalize_dots: bool = True, table: list[tuple[str, str]] | None = None) -> Column:
+    """Expansions of short forms, also of those written without full stops, and with `both_ways` short forms of expansions; maps as literals.  `table`: see `load_short_forms`."""
     forms = short_forms(table)
     as_map = lambda m: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])
     exact, dotless, back = map(as_map, forms)
@@ -152,16 +186,16 @@ def acronym(tokens: Column, keep: bool = True, both_ways: bool = False, normaliz
     return variants(tokens, make, "<ACRONYM_EXPANDED>", keep)
 
 
-def short_forms(table: list[tuple[str, str, int]] | None = None) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+def short_forms(table: list[tuple[str, str]] | None = None) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Maps from short forms, from short forms without stops, and from expansions; of equal ones the last, the last and the first counts."""
     from lanna.sources.dictionary import abbreviation_rows
 
-    rows = sorted(abbreviation_rows() if table is None else table, key=lambda r: r[2])
-    exact = {short: full for short, full, _ in rows}
+    rows = abbreviation_rows() if table is None else table
+    exact = dict(rows)
     back: dict[str, str] = {}
-    for short, full, _ in rows:
+    for short, full in rows:
         back.setdefault(full, short)
-    return exact, {short.replace(".", "").replace("ฯ", ""): full for short, full, _ in rows}, back
+    return exact, {short.replace(".", "").replace("ฯ", ""): full for short, full in rows}, back
 
 
 def collation(tokens: Column, strength: str = "tertiary", decomposition: str = "none") -> Column:
@@ -175,11 +209,8 @@ def lowercase(tokens: Column) -> Column:
 def stop(tokens: Column, words: list[str]) -> Column:
     """Without the stop words; a token's position increment takes those of the ones dropped before it."""
     banned = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    first = F.struct(F.lit(0).alias("owed"), F.array().cast(f"array<{TOKEN}>").alias("kept"))
-
-    def step(state: Column, t: Column) -> Column:
-        gone = F.array_contains(banned, t["term"])
-        now = with_fields(t, pos_inc=t["pos_inc"] + state["owed"])
-        return F.struct(F.when(gone, state["owed"] + t["pos_inc"]).otherwise(0).alias("owed"), F.when(gone, state["kept"]).otherwise(F.concat(state["kept"], F.array(now))).alias("kept"))
-
-    return F.aggregate(tokens, first, step, lambda s: s["kept"])
+    placed = F.zip_with(tokens, running("sum")(F.transform(tokens, lambda t: t["pos_inc"])), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+    kept = F.filter(placed, lambda x: ~F.array_contains(banned, x["t"]["term"]))
+    before = F.concat(F.array(F.lit(0)), F.transform(kept, lambda x: x["p"]))  # one longer; the last is left over
+    steps = F.zip_with(kept, before, lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    return F.transform(F.filter(steps, lambda s: s["x"].isNotNull()), lambda s: with_fields(s["x"]["t"], pos_inc=s["x"]["p"] - s["p"]))

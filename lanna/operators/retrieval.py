@@ -10,9 +10,19 @@ from lanna.operators.analyzers import native_terms
 K1, B = 1.2, 0.75
 
 
+def term_lists(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, terms: the terms of each text without Thai, in lower case."""
+    return df.select(key, F.transform(native_terms(F.col(text)), F.lower).alias("terms"))
+
+
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, position, term: a row a term of text without Thai, in lower case."""
-    return df.select(key, F.posexplode(native_terms(F.col(text))).alias("position", "term")).withColumn("term", F.lower("term"))
+    return term_lists(df, key, text).select(key, F.posexplode("terms").alias("position", "term"))
+
+
+def sought(term_rows: DataFrame, query: DataFrame) -> DataFrame:
+    """The rows whose term a query has: the others never reach a shuffle, if Spark can send the terms to all tasks."""
+    return term_rows.join(query.select("term").distinct(), "term", "left_semi")
 
 
 def index(term_rows: DataFrame, key: str) -> DataFrame:
@@ -37,30 +47,58 @@ def match_all(postings: DataFrame, query: DataFrame, key: str) -> DataFrame:
     return found.join(sizes, "q").where("found = n").select("q", key)
 
 
-def phrase(postings: DataFrame, query: DataFrame, key: str) -> DataFrame:
-    """q, key of documents where a query's terms follow one another; `query` has q, place and term.
+def phrase(term_rows: DataFrame, query: DataFrame, key: str) -> DataFrame:
+    """q, key of documents where a query's terms stand at positions that differ as their places do; `query` has q, place and term, `term_rows` key, position and term.
 
-    Every posting votes for the position at which its phrase would begin; a phrase is where all places vote alike.
+    Only where a query's rarest term stands may the phrase be; the other terms are looked up at the places that follow from it.
+    Several terms may stand at one position, so it works on token graphs as well.
     """
-    sizes = query.groupBy("q").agg(F.count("*").alias("n"))
-    votes = postings.select("term", key, F.explode("positions").alias("position")).join(query.select("q", "place", "term"), "term")
-    starts = votes.groupBy("q", key, (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("found"))
-    return starts.join(sizes, "q").where("found = n").select("q", key).distinct()
-
-
-def bm25(postings: DataFrame, query: DataFrame, key: str) -> DataFrame:
-    """q, key, score: the published formula over the documents that have any term of the query."""
-    lengths = postings.groupBy(key).agg(F.sum("tf").alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    wanted = query.select("q", "place", "term").distinct()
+    known = sought(term_rows.select(key, "position", "term"), wanted)
+    counts = known.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term"))
+    anchors = wanted.join(counts, "term", "left").groupBy("q").agg(rarest.alias("x"), F.count("*").alias("size")).select("q", "size", "x.place", "x.term")
+    starts = known.join(anchors, "term").select("q", key, "size", (F.col("position") - F.col("place")).alias("start"))
+    looked = starts.join(wanted, "q").withColumn("position", F.col("start") + F.col("place"))
+    found = looked.join(known, [key, "position", "term"], "left_semi").groupBy("q", key, "size", "start").agg(F.count("*").alias("n"))
+    return found.where("n = size").select("q", key).distinct()
+
+
+def bm25(documents: DataFrame, query: DataFrame, key: str) -> DataFrame:
+    """q, key, score: the published formula over the documents that have any term of the query; `documents` has key and terms, an array."""
+    sized = documents.select(key, "terms", F.size("terms").alias("length"))
+    whole = sized.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = query.select("q", "term").distinct()
-    known = postings.select("term", key, "tf").join(wanted.select("term").distinct(), "term", "left_semi")
+    known = sought(sized.select(key, "length", F.explode("terms").alias("term")), wanted).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     df = known.groupBy("term").agg(F.count("*").alias("df"))
-    hits = known.join(df, "term").join(wanted, "term").join(lengths, key).join(F.broadcast(whole))  # a single row
+    hits = known.join(wanted.join(df, "term"), "term").join(F.broadcast(whole))  # a single row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.groupBy("q", key).agg(F.sum(part).alias("score"))
 
 
+def containing(documents: DataFrame, strings: DataFrame, key: str, text: str, gram: int = 5) -> DataFrame:
+    """term, key of documents whose text, in lower case, holds a string without white space of at least `gram` characters; `strings` has term.
+
+    Such a string lies in one run of characters that aren't blank.  The different runs of all documents are matched by their n-grams with the
+    first n-gram of each string, confirmed, and joined back to the documents.
+    """
+    runs = documents.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[ \\t-\\r]+"))).alias("run")).where(F.length("run") >= gram)
+    wanted = strings.select("term").distinct().where(F.length("term") >= gram).withColumn("gram", F.substring("term", 1, gram))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - gram + 1), lambda k: F.substr("run", k, F.lit(gram))))
+    pairs = runs.select("run").distinct().select("run", F.explode(grams).alias("gram")).join(wanted, "gram").where(F.contains("run", "term")).select("run", "term").distinct()
+    return runs.join(pairs, "run").select("term", key).distinct()
+
+
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """`df` with `place`, from 1, in the order of columns: sorted by ranges of them, so no task holds more than its range."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), inside.alias("_at")).persist()
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def ranked(scores: DataFrame, key: str, most: int, by: str = "score", digits: int = 4) -> DataFrame:
     """The best of every query: q, key, rank from 1; equal scores by key."""
     scores = scores.withColumn(by, F.round(by, digits))
@@ -77,24 +115,27 @@ def layered(layers: list[tuple[DataFrame, float]], key: str) -> DataFrame:
     return whole.groupBy("q", key).agg(F.sum("score").alias("score"))
 
 
-def precision_recall(results: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
-    """q, precision, recall, f1, zero: of every query that has relevant documents; both inputs have q and key."""
+def precision_recall(results: DataFrame, relevant: DataFrame, key: str, asked: DataFrame | None = None) -> DataFrame:
+    """q, precision, recall, f1, zero: of every query that has relevant documents, or of all in `asked`, those without any scoring 0; both inputs have q and key."""
     hit = relevant.select("q", key, F.lit(1).alias("good")).distinct()
     found = results.select("q", key).distinct().join(hit, ["q", key], "left").groupBy("q").agg(F.count("*").alias("n"), F.count("good").alias("good"))
-    both = hit.groupBy("q").agg(F.count("*").alias("of")).join(found, "q", "left").fillna(0, ["n", "good"])
+    sizes = hit.groupBy("q").agg(F.count("*").alias("of"))
+    sizes = sizes if asked is None else asked.select("q").distinct().join(sizes, "q", "left")
+    both = sizes.join(found, "q", "left").fillna(0, ["n", "good", "of"])
     p = F.when(F.col("n") > 0, F.col("good") / F.col("n")).otherwise(0.0)
-    r = F.col("good") / F.col("of")
+    r = F.when(F.col("of") > 0, F.col("good") / F.col("of")).otherwise(0.0)
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return both.select("q", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"), (F.col("n") == 0).alias("zero"))
 
 
-def ndcg(results: DataFrame, relevant: DataFrame, key: str, depth: int = 10) -> DataFrame:
-    """q, ndcg: binary gains; `results` have q, key and rank from 1."""
+def ndcg(results: DataFrame, relevant: DataFrame, key: str, depth: int = 10, asked: DataFrame | None = None) -> DataFrame:
+    """q, ndcg: binary gains; `results` have q, key and rank from 1.  `asked`: see precision_recall."""
     hit = relevant.select("q", key).distinct()
     gain = results.where(F.col("rank") <= depth).join(hit, ["q", key], "left_semi").groupBy("q").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(depth))), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1.0))
     best = hit.groupBy("q").agg(F.count("*").cast("int").alias("n")).select("q", ideal.alias("ideal"))
-    return best.join(gain, "q", "left").select("q", F.round(F.coalesce("gain", F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"))
+    best = best if asked is None else asked.select("q").distinct().join(best, "q", "left")
+    return best.join(gain, "q", "left").select("q", F.round(F.coalesce(F.coalesce("gain", F.lit(0.0)) / F.col("ideal"), F.lit(0.0)), 6).alias("ndcg"))
 
 
 def draw(resample: Column, k: Column, n: Column) -> Column:
@@ -103,25 +144,48 @@ def draw(resample: Column, k: Column, n: Column) -> Column:
 
 
 def bootstrap(values: DataFrame, resamples: int = 4000) -> DataFrame:
-    """low, high, mean of the values' mean: resampling with replacement, elements int(.025 r) and int(.975 r); `values` has q and value, a long."""
-    order = F.row_number().over(Window.orderBy("q")) - 1  # a row a query
-    numbered = values.select(order.cast("long").alias("k"), F.col("value").cast("long").alias("value"))
-    size = numbered.agg(F.count("*").alias("n"), F.sum("value").alias("whole"))
+    """low, high, mean of the values' mean: resampling with replacement, elements int(.025 r) and int(.975 r); `values` has q and value, a long.
+
+    A row is a query, so each resample is drawn by a join of numbered draws with numbered values; Spark chooses how, as the query set may be large.
+    """
+    numbered = placed(values.select("q", F.col("value").cast("long").alias("value")), "q").select((F.col("place") - 1).alias("k"), "value")
+    size = numbered.agg(F.count("*").alias("n"), F.sum("value").alias("whole"))  # a single row
     drawn = numbered.select("k").join(F.broadcast(size)).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"), "k", "n")
-    means = drawn.select("r", draw(F.col("r"), F.col("k"), F.col("n")).alias("k")).join(F.broadcast(numbered), "k").groupBy("r").agg(F.sum("value").alias("total"))
-    place = F.row_number().over(Window.orderBy("total", "r")) - 1
+    means = drawn.select("r", draw(F.col("r"), F.col("k"), F.col("n")).alias("k")).join(numbered, "k").groupBy("r").agg(F.sum("value").alias("total"))
+    place = F.row_number().over(Window.orderBy("total", "r")) - 1  # a row a resample
     ends = means.withColumn("place", place).agg(*[F.max(F.when(F.col("place") == int(share * resamples), F.col("total"))).alias(name) for name, share in (("low", 0.025), ("high", 0.975))])
     return ends.join(F.broadcast(size)).select(F.round(F.col("low") / F.col("n"), 4).alias("low"), F.round(F.col("high") / F.col("n"), 4).alias("high"), F.round(F.col("whole") / F.col("n"), 4).alias("mean"))
 
 
-def entities(words: DataFrame, key: str, order: str) -> DataFrame:
-    """Entities from B_, I_ and E_ tags: a new one begins at every B_ and wherever the name changes; key, name, text."""
-    w = Window.partitionBy(key).orderBy(order)
-    name = F.when(F.col("ne").rlike("^[BIE]_"), F.substring("ne", 3, 100))
-    begun = F.col("ne").startswith("B_") | ~F.coalesce(name == F.lag(name).over(w), F.lit(False))
-    islands = words.withColumn("name", name).withColumn("begun", begun.cast("int")).withColumn("island", F.sum("begun").over(w)).where("name is not null")
-    grouped = islands.groupBy(key, "island", "name").agg(F.sort_array(F.collect_list(F.struct(order, "word"))).alias("of"))
-    return grouped.select(key, "name", F.array_join(F.col("of.word"), "").alias("text"))
+def entities(words: DataFrame, key: str, order: str, sentence: str | None = None) -> DataFrame:
+    """Entities from B_, I_ and E_ tags: key, name, text.
+
+    One begins at every B_, goes on with I_ and E_ of its name, and ends with the first E_ or before anything else, or with the sentence;
+    an I_ or E_ that nothing began is none.
+    """
+    within = [key, sentence] if sentence else [key]
+    w = Window.partitionBy(*within).orderBy(order)
+    name, part = F.substring("ne", 3, 1000), F.substring("ne", 1, 2)
+    goes_on = part.isin("I_", "E_") & F.coalesce((F.lag(name).over(w) == name) & F.lag(part).over(w).isin("B_", "I_"), F.lit(False))
+    islands = words.withColumn("island", F.sum(F.when(goes_on, 0).otherwise(1)).over(w)).withColumn("name", name)
+    grouped = islands.where(part.isin("B_", "I_", "E_")).groupBy(*within, "island", "name").agg(F.sort_array(F.collect_list(F.struct(order, "word", "ne"))).alias("of"))  # an entity's words
+    return grouped.where(F.col("of")[0]["ne"].startswith("B_")).select(key, "name", F.array_join(F.col("of.word"), "").alias("text"))
+
+
+#: Titles that aren't names by themselves.
+TITLES = ("นาย", "นาง", "นางสาว", "ดร.", "พ.ต.ท.", "พล.อ.")
+
+
+def query_words(words: DataFrame, key: str, low: int = 2, high: int = 40) -> DataFrame:
+    """term, df of the nouns, verbs and adjectives outside entities, of three or more Thai letters, that `low` to `high` articles have."""
+    good = words.where((F.col("ne") == "O") & F.col("pos").isin("NN", "VV", "AJ") & F.col("word").rlike("^[ก-๎]{3,}$"))
+    return good.groupBy(F.col("word").alias("term")).agg(F.countDistinct(key).alias("df")).where(F.col("df").between(low, high))
+
+
+def query_entities(found: DataFrame, key: str, low: int = 2, high: int = 40) -> DataFrame:
+    """term, name, df of entities with a Thai letter, of three or more characters, no titles, that `low` to `high` articles have; of several names the last in order."""
+    good = found.where(F.col("text").rlike("[ก-ฮ]") & (F.length("text") >= 3) & ~F.col("text").isin(*TITLES))
+    return good.groupBy(F.col("text").alias("term")).agg(F.max("name").alias("name"), F.countDistinct(key).alias("df")).where(F.col("df").between(low, high))
 
 
 def span_f1(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanna.operators import analyzers, retrieval
+from lanna.plans import expected
 from lanna.plans.catalog import ORACLE_SQL, QUERIES, quoted, query, table, thai_texts
 from lanna.sources import corpus
 
@@ -52,26 +53,29 @@ def bulk_lines(spark, sf_dir):
 
 # -- analyzer pairs ----------------------------------------------------------------
 
-#: Index and search modes that are compared.
+#: Settings that are compared: modes of the index and of the search; and boosts of a plain field and one indexed with compounds.
 PAIRS = (("none", "none"), ("mixed", "none"), ("mixed", "mixed"), ("discard", "discard"))
-SOUGHT = ("สนามบิน", "บิน", "ประชุม", "น้ำตาล", "เชียงใหม่")
+LAYERS = ((3.0, 1.0), (1.0, 1.0))
 
 
-@query("analyzer_pairs")
+@query("analyzer_pairs", expected.values_sql(expected.PAIR_HITS, "config, q, n_texts", "SELECT config, q, CAST(sum(n) AS BIGINT) AS n FROM e JOIN (SELECT p_partkey % {texts} AS k, count(*) AS n FROM part GROUP BY 1) ON list_contains(n_texts, k) GROUP BY config, q"))
 def analyzer_pairs(spark, sf_dir):
-    """config, q, n: how many texts each search word finds, all its terms asked for, under each pair of modes."""
-    asked = spark.createDataFrame([(k, w) for k, w in enumerate(SOUGHT)], "q int, text string")
+    """config, q, n: how many texts each search word finds, all its terms asked for, under each pair of modes and each layering."""
+    asked = spark.createDataFrame([(w, w) for w in expected.ASKED], "q string, text string")
     postings, wanted = {}, {}
     for mode in dict.fromkeys(m for pair in PAIRS for m in pair):
         how = analyzers.analyzer(spark, mode)
-        tokens = analyzers.analyzed(thai_texts(spark, sf_dir), "text", how).select("p_partkey", F.posexplode("tokens.term").alias("position", "term"))
-        postings[mode] = retrieval.index(tokens, "p_partkey")
-        wanted[mode] = analyzers.analyzed(asked, "text", how).select("q", F.explode("tokens.term").alias("term"))
+        tokens = analyzers.analyzed(thai_texts(spark, sf_dir), "text", how).select("p_partkey", F.explode("tokens.term").alias("term")).distinct()
+        postings[mode], wanted[mode] = tokens, analyzers.analyzed(asked, "text", how).select("q", F.explode("tokens.term").alias("term"))
+    hits = {(a, b): retrieval.match_all(postings[a], wanted[b], "p_partkey") for a, b in PAIRS}
+    named = [(f"{a}/{b}", found) for (a, b), found in hits.items()]
+    for main, sub in LAYERS:
+        both = [(hits[pair].withColumn("score", F.lit(1.0)), boost) for pair, boost in ((("none", "none"), main), (("mixed", "none"), sub))]
+        named.append((f"layered {main:g}:{sub:g}", retrieval.layered(both, "p_partkey")))
     whole = None
-    for index_mode, search_mode in PAIRS:
-        hits = retrieval.match_all(postings[index_mode], wanted[search_mode], "p_partkey").groupBy("q").agg(F.count("*").alias("n"))
-        hits = hits.select(F.lit(f"{index_mode}/{search_mode}").alias("config"), "q", "n")
-        whole = hits if whole is None else whole.unionByName(hits)
+    for config, found in named:
+        n = found.groupBy("q").agg(F.count("*").alias("n")).select(F.lit(config).alias("config"), "q", "n")
+        whole = n if whole is None else whole.unionByName(n)
     return whole
 
 

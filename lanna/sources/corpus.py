@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanna.operators.filters import running
+
 
 def tagged_words(text: Column) -> Column:
     """Words of a tab-separated article: an array of (sentence, word, pos, ne).
 
     A line with fewer than three fields, or without a word, ends a sentence; `_` is a space.
     """
-    first = F.struct(F.lit(0).alias("sentence"), F.lit(False).alias("begun"), F.array().cast("array<struct<sentence:int,word:string,pos:string,ne:string>>").alias("words"))
-
-    def step(state: Column, line: Column) -> Column:
-        x = F.split(line, "\t")
-        good = (F.size(x) >= 3) & (F.trim(F.get(x, F.lit(0))) != "")
-        word = F.when(F.get(x, F.lit(0)) == "_", " ").otherwise(F.get(x, F.lit(0)))
-        row = F.struct(state["sentence"].alias("sentence"), word.alias("word"), F.get(x, F.lit(1)).alias("pos"), F.get(x, F.lit(2)).alias("ne"))
-        ended = F.when(state["begun"], state["sentence"] + 1).otherwise(state["sentence"])
-        return F.struct(F.when(good, state["sentence"]).otherwise(ended).alias("sentence"), good.alias("begun"), F.when(good, F.concat(state["words"], F.array(row))).otherwise(state["words"]).alias("words"))
-
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\r?\n"), first, step, lambda s: s["words"])
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.split(line, "\t"))
+    good = F.transform(lines, lambda x: ((F.size(x) >= 3) & (F.trim(F.get(x, F.lit(0))) != "")).cast("int"))
+    # A sentence begins at each word line after another line, but for the first: lists of 1 there, and their running sums.
+    begins = F.zip_with(good, F.concat(F.array(F.lit(0)), good), lambda now, before: F.when((now == 1) & (before == 0), 1).otherwise(0))
+    rows = F.zip_with(lines, running("sum")(begins), lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+    rows = F.filter(rows, lambda r: (F.size(r["x"]) >= 3) & (F.trim(F.get(r["x"], F.lit(0))) != ""))
+    word = lambda x: F.when(x[0] == "_", " ").otherwise(x[0])
+    return F.transform(rows, lambda r: F.struct((r["n"] - 1).alias("sentence"), word(r["x"]).alias("word"), r["x"][1].alias("pos"), r["x"][2].alias("ne")))
 
 
 def word_rows(articles: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 from importlib import resources
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,21 @@ class Lexicon:
         self.tree: dict = {}
         self.total = 0.0
         self.longest = 0
+        self._bridges: re.Pattern | str | None = None
         for word, weight in (words or {}).items():
             self.add(word, weight)
 
-    def add(self, word: str, weight: float = 1.0) -> None:
-        """Adds a word; of a repeated one the greater weight stays."""
+    def add(self, word: str, weight: float = 1.0, lower: bool = False) -> None:
+        """Adds a word; of a repeated one the greater weight stays, but with `lower` the later one, while the sum keeps the greater."""
         if not word:
             return
         weight = weight if weight > 0 and math.isfinite(weight) else 1.0
         old = self.words.get(word)
-        if old is not None and weight <= old:
+        if old is not None and weight <= old and not lower:
             return
-        self.total += weight - (old or 0.0)
+        self.total += max(0.0, weight - (old or 0.0))
         self.words[word] = weight
-        self.longest = max(self.longest, len(word))
+        self.longest, self._bridges = max(self.longest, len(word)), None
         node = self.tree
         for c in word:
             node = node.setdefault(c, {})
@@ -52,6 +55,13 @@ class Lexicon:
                 found.append((at + 1, node[""]))
         return found
 
+    def bridges(self) -> re.Pattern | None:
+        """Finds the words that begin with a Thai letter and hold signs other than Thai ones and full stops, longest first."""
+        if self._bridges is None:
+            words = [w for w in self.words if "฀" <= w[0] <= "๿" and re.search("[^฀-๿.]", w)]
+            self._bridges = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True)))) if words else ""
+        return self._bridges or None
+
     def __contains__(self, word: str) -> bool:
         return word in self.words
 
@@ -69,8 +79,8 @@ class Lexicon:
         return Lexicon, (self.words,)
 
 
-def parse_words(lines: list[str]) -> dict[str, float]:
-    """`word` or `word<TAB>weight`; # comments; a bad weight or one not above 0 is 1; words take their matching form."""
+def parse_words(lines: list[str], normal: bool = True) -> dict[str, float]:
+    """`word` or `word<TAB>weight`; # comments; a bad weight or one not above 0 is 1; words take their matching form if `normal`."""
     found: dict[str, float] = {}
     for line in lines:
         line = line.strip()
@@ -81,7 +91,7 @@ def parse_words(lines: list[str]) -> dict[str, float]:
             value = float(weight) if weight.strip() else 1.0
         except ValueError:
             value = 1.0
-        word = match_form(word.strip())
+        word = match_form(word.strip()) if normal else word.strip()
         found[word] = max(found.get(word, 0.0), value if value > 0 and math.isfinite(value) else 1.0)
     return found
 
@@ -91,17 +101,52 @@ def _resource(name: str) -> list[str]:
     return [x for x in text.splitlines() if x.strip() and not x.startswith("#")]
 
 
+def ranks() -> list[tuple[str, str]]:
+    """Short forms of the officers' ranks of army and police: grade, force and level."""
+    return [
+        (grade + force + level, grade_name + force_name + level_name)
+        for force, force_name in (("", ""), ("ต.", "ตำรวจ"))
+        for grade, grade_name in (("พล.", "พล"), ("พ.", "พัน"), ("ร.", "ร้อย"))
+        for level, level_name in (("อ.", "เอก"), ("ท.", "โท"), ("ต.", "ตรี"))
+    ]
+
+
+def parse_short_forms(lines: list[str]) -> list[tuple[str, str]]:
+    """(short form, full form) of `short<TAB>full` or `short=>full`; # comments; other lines are left out."""
+    pairs = (x.partition("=>" if "=>" in x else "\t") for x in map(str.strip, lines) if not x.startswith("#"))
+    return [(short.strip(), full.strip()) for short, sep, full in pairs if sep and short.strip() and full.strip()]
+
+
+def parse_spellings(lines: list[str]) -> dict[str, tuple[str, ...]]:
+    """Spellings of each word of `word<TAB>spelling[,spelling]` or `word=>...`; a later line replaces an earlier one."""
+    return {word: spellings(latin) for word, latin in parse_short_forms(lines) if spellings(latin)}
+
+
 @lru_cache(1)
-def abbreviation_rows() -> tuple[tuple[str, str, int], ...]:
-    """(short form, expansion, rank) of the bundled table."""
-    return tuple((short, full, int(rank)) for full, rank, short in (x.split("\t") for x in _resource("abbreviations.tsv")))
+def abbreviation_rows() -> tuple[tuple[str, str], ...]:
+    """(short form, full form) of the bundled table."""
+    return (*parse_short_forms(_resource("short_forms.txt")), *ranks())
 
 
 @lru_cache(1)
 def romanization_rows() -> tuple[tuple[str, tuple[str, ...]], ...]:
     """(word, spellings) of the bundled table."""
-    rows = (x.split("\t") for x in _resource("latin_names.tsv"))
-    return tuple((word, spellings(latin)) for latin, word in rows)
+    return tuple(parse_spellings(_resource("latin_spellings.txt")).items())
+
+
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of a table that every worker holds, so it fits the driver; a missing file is an error."""
+    return [r["value"] for r in spark.read.text(path).collect()]
+
+
+def load_short_forms(spark: SparkSession, path: str | None = None, rules: list[str] | None = None) -> list[tuple[str, str]]:
+    """The bundled short forms, or those of a file in their place, and inline rules after them; of equal short forms the last counts."""
+    return [*(abbreviation_rows() if path is None else parse_short_forms(_lines(spark, path))), *parse_short_forms(rules or [])]
+
+
+def load_spellings(spark: SparkSession, path: str | None = None, rules: list[str] | None = None) -> dict[str, tuple[str, ...]]:
+    """The bundled spellings, or those of a file in their place, and inline rules, which replace the spellings of their words."""
+    return {**(dict(romanization_rows()) if path is None else parse_spellings(_lines(spark, path))), **parse_spellings(rules or [])}
 
 
 def spellings(text: str) -> tuple[str, ...]:
@@ -116,19 +161,27 @@ def default_lexicon() -> Lexicon:
     from lanna.operators.segment import BOUNDARY_WORDS, FUNCTION_PARTS
 
     words = [w for line in _resource("seed_words.txt") for w in line.split()]
-    words += [w for w, _ in romanization_rows()] + [x for short, full, _ in abbreviation_rows() for x in (short, full)]
+    words += [w for w, _ in romanization_rows()] + [x for pair in abbreviation_rows() for x in pair]
     words += [*NUMBER_WORDS, *BOUNDARY_WORDS, *FUNCTION_PARTS]
     return Lexicon({match_form(w): 1.0 for w in words})
 
 
-def load_lexicon(spark: SparkSession, paths: list[str] | None = None, rules: list[str] | None = None, base: Lexicon | None = None) -> Lexicon:
-    """A copy of the base lexicon with the words of files and inline rules; files are read by Spark, a missing one is an error."""
-    lexicon = (default_lexicon() if base is None else base).copy()
-    for path in paths or []:
-        for word, weight in parse_words([r["value"] for r in spark.read.text(path).collect()]).items():  # a lexicon is held by every worker, so it fits the driver
-            lexicon.add(word, weight)
-    for word, weight in parse_words(rules or []).items():
-        lexicon.add(word, weight)
+def load_lexicon(spark: SparkSession, paths: list[str] | None = None, rules: list[str] | None = None, base: Lexicon | None = None, graph: str | None = None, weights: str | None = None) -> Lexicon:
+    """A copy of the base lexicon with the words of files and inline rules; files are read by Spark, a missing one is an error.
+
+    With `graph`, a binary word graph, its words are the base, of weight 1 but for those that the file `weights` lists (`word<TAB>weight`,
+    as they are written there).  A word of files or rules then takes the weight given there, a smaller one as well; the sum of weights
+    follows only words that are new or grow.
+    """
+    if graph is not None:
+        known = dict.fromkeys(read_dawg(spark, graph), 1.0)
+        known |= {w: x for w, x in parse_words(_lines(spark, weights), False).items()} if weights else {}
+        lexicon = Lexicon(known)
+    else:
+        lexicon = (default_lexicon() if base is None else base).copy()
+    for lines in [*(_lines(spark, path) for path in paths or []), rules or []]:
+        for word, weight in parse_words(lines).items():
+            lexicon.add(word, weight, graph is not None)
     return lexicon
 
 
@@ -137,31 +190,31 @@ def lexicon_frame(spark: SparkSession, lexicon: Lexicon | None = None) -> DataFr
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """A word file as (word, weight), by Spark alone; the words are not normalized here."""
+    """A word file of any size as (word, weight): the same words as `parse_words`, in matching form, of equal ones the greatest weight."""
+    from lanna.session import ship
+
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def form(words: pd.Series) -> pd.Series:
+        return words.map(match_form, na_action="ignore")
+
     line = F.trim("value")
     rows = spark.read.text(path).where((line != "") & ~line.startswith("#")).select(F.split(line, "\t", 2).alias("x"))
-    weight = F.try_to_number(F.trim(F.get("x", F.lit(1))), F.lit("999999999.999999")).cast("double")
-    return rows.select(F.trim(F.get("x", F.lit(0))).alias("word"), F.when(weight > 0, weight).otherwise(1.0).alias("weight"))
+    weight = F.trim(F.get("x", F.lit(1))).try_cast("double")
+    good = F.when((weight > 0) & (weight < float("inf")), weight).otherwise(1.0)
+    return rows.select(form(F.trim(F.get("x", F.lit(0)))).alias("word"), good.alias("weight")).groupBy("word").agg(F.max("weight").alias("weight"))
 
 
-def abbreviation_frame(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
-    """short, full, rank; rules `short=>full` or `short<TAB>full` come last, so they win."""
-    rows = [*abbreviation_rows()]
-    for rule in rules or []:
-        short, sep, full = rule.partition("=>") if "=>" in rule else rule.partition("\t")
-        if sep and short.strip() and full.strip():
-            rows.append((short.strip(), full.strip(), 10_000 + len(rows)))
+def abbreviation_frame(spark: SparkSession, rules: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """short, full, rank: the order of the table, in which of equal short forms the last counts and of equal full forms the first."""
+    rows = [(short, full, k) for k, (short, full) in enumerate(load_short_forms(spark, path, rules))]
     return spark.createDataFrame(rows, "short string, full string, rank int")
 
 
-def romanization_frame(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
-    """word, spellings; rules `word=>spelling[,spelling]` replace bundled entries."""
-    table = {w: list(s) for w, s in romanization_rows()}
-    for rule in rules or []:
-        word, sep, latin = rule.partition("=>")
-        if sep and word.strip() and latin.strip():
-            table[word.strip()] = list(spellings(latin))
-    return spark.createDataFrame([*table.items()], "word string, spellings array<string>")
+def romanization_frame(spark: SparkSession, rules: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """word, spellings."""
+    return spark.createDataFrame([(w, [*s]) for w, s in load_spellings(spark, path, rules).items()], "word string, spellings array<string>")
 
 
 def base_variant(dictionary: DataFrame, base: DataFrame) -> DataFrame:

@@ -29,12 +29,23 @@ def analyzed_stream(stream: DataFrame, text: str, how: Callable[[Column], Column
 
 
 def counted_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of terms over all rows that a stream has now; runs to its end and gives the table."""
-    terms = source(spark, path).select(F.explode(native_terms(F.col("text"))).alias("term"))
+    """Counts of terms over all rows that a stream has now; runs to its end and gives the table, which lies in the warehouse."""
+    terms = source(spark, path).select(F.explode(native_terms(F.col("text"))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n"))
     name = f"terms_{uuid.uuid4().hex}"
-    run = terms.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+    def keep(counts: DataFrame, number: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{base}/{name}/{number}")
+
+    run = terms.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/{name}_state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    last = run.lastProgress
+    for folder in (name, f"{name}_state"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if last is None:
+        return spark.createDataFrame([], "term string, n long")
+    return spark.read.schema("term string, n long").parquet(f"{base}/{name}/{last['batchId']}")
 
 
 def reloading(stream: DataFrame, load: Callable[[], object], apply: Callable[[DataFrame, object], DataFrame], sink: Callable[[DataFrame, int], None]):

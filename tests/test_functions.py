@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanna.functions import scalar
-from lanna.operators import analyzers, filters
+from lanna.operators import analyzers, filters, retrieval
 from lanna.operators.numbers import merge_numbers, parse
 from lanna.operators.romanize import by_rules, romanize
 from lanna.sources import corpus, dictionary
@@ -133,3 +133,77 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()) == ['{"body":"a"}', '{"index":{"_index":"x","_id":"1"}}']
     corpus.write_results(postings, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_tables_from_files(spark, tmp_path):
+    short, latin, words, weights = (tmp_path / x for x in ("short.txt", "latin.txt", "words.txt", "weights.txt"))
+    short.write_text("# own\nมทส.\tone\nมทส.\ttwo\n", "utf-8")
+    latin.write_text("ดีพ\tdeep\n", "utf-8")
+    table = dictionary.load_short_forms(spark, str(short), ["ย.=>three"])  # a file takes the place of the bundled table, rules come on top
+    assert table == [("มทส.", "one"), ("มทส.", "two"), ("ย.", "three")]
+    df = spark.createDataFrame([(w,) for w in ("มทส.", "มทส", "กทม.", "ย.")], "t string")
+    token = F.array(F.struct(F.col("t").alias("term"), F.lit(0).alias("start"), F.length("t").alias("end"), F.lit(1).alias("pos_inc"), F.lit(1).alias("pos_len"), F.lit("<THAI>").alias("type")))
+    assert [r["x"] for r in df.select(filters.acronym(token, keep=False, table=table)[0]["term"].alias("x")).collect()] == ["two", "two", "กทม.", "three"]
+    own = dictionary.load_spellings(spark, str(latin), ["กก=>A,b"])
+    assert own == {"ดีพ": ("deep",), "กก": ("a", "b")} and "กรุงเทพ" in dictionary.load_spellings(spark)
+    with pytest.raises(Exception):
+        dictionary.load_short_forms(spark, str(tmp_path / "missing.txt"))
+    graph = b"TBD1" + (2).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes([1]) + (0x0E01).to_bytes(2, "little") + (1).to_bytes(2, "little") + bytes([0x80])
+    (tmp_path / "g.dawg").write_bytes(graph)
+    weights.write_text("ก\t7\n", "utf-8")
+    words.write_text("ก\t2\nข\t3\n", "utf-8")
+    lexicon = dictionary.load_lexicon(spark, [str(words)], graph=str(tmp_path / "g.dawg"), weights=str(weights))
+    assert lexicon.words == {"ก": 2.0, "ข": 3.0} and lexicon.total == 10.0  # a smaller weight counts, the sum doesn't fall
+    assert {(r["word"], r["weight"]) for r in dictionary.read_words(spark, str(words)).collect()} == set(dictionary.parse_words(words.read_text("utf-8").splitlines()).items())
+
+
+def test_entities_end_and_begin_by_the_rule(spark):
+    tags = "B_X E_X I_X O I_X B_X I_X B_X I_Y E_Y".split()
+    rows = [(1, k, k // 7, w, t) for k, (w, t) in enumerate(zip("abcdefghij", tags))]
+    found = retrieval.entities(spark.createDataFrame(rows, "k int, place int, sentence int, word string, ne string"), "k", "place", "sentence")
+    assert sorted((r["name"], r["text"]) for r in found.collect()) == [("X", "ab"), ("X", "fg"), ("X", "h")]
+
+
+def test_phrases_of_a_graph(spark):
+    docs = spark.createDataFrame([(1, "ฉันเดินทางไปสนามบินสุวรรณภูมิวันนี้"), (2, "เด็กๆ นั่งดูเครื่องบินที่สนามเด็กเล่นอย่างมีความสุข")], "k int, t string")
+    rows = analyzers.rows(analyzers.analyzed(docs, "t", analyzers.analyzer(spark, "mixed")), "k")
+    phrases = ["สนามบิน", "สนาม บิน", "ไป สนามบิน", "ฉัน สุวรรณภูมิ"]
+    query = spark.createDataFrame([(p, k, w) for p in phrases for k, w in enumerate(p.split(" "))], "q string, place int, term string")
+    assert sorted((r["q"], r["k"]) for r in retrieval.phrase(rows, query, "k").collect()) == sorted([("สนามบิน", 1), ("สนาม บิน", 1), ("ไป สนามบิน", 1)])
+
+
+def test_query_candidates(spark):
+    words = spark.createDataFrame([(a, w, p, n) for a in (1, 2) for w, p, n in (("ตลาด", "NN", "O"), ("กา", "NN", "O"), ("บ้าน", "XX", "O"), ("นาย", "NN", "B_PER"))] + [(3, "สนาม", "NN", "O")], "k int, word string, pos string, ne string")
+    assert [tuple(r) for r in retrieval.query_words(words, "k").collect()] == [("ตลาด", 2)]
+    found = spark.createDataFrame([(k, "PER", t) for k in (1, 2) for t in ("นาย", "สมชาย", "ab")], "k int, name string, text string")
+    assert [tuple(r) for r in retrieval.query_entities(found, "k").collect()] == [("สมชาย", "PER", 2)]
+
+
+def test_metrics_of_queries_without_relevant_rows(spark):
+    results = spark.createDataFrame([(1, 10, 1), (2, 10, 1)], "q int, k int, rank int")
+    relevant = spark.createDataFrame([(1, 10)], "q int, k int")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "q int")
+    assert sorted(tuple(r) for r in retrieval.precision_recall(results, relevant, "k", asked).collect()) == [(1, 1.0, 1.0, 1.0, False), (2, 0.0, 0.0, 0.0, False), (3, 0.0, 0.0, 0.0, True)]
+    assert sorted(tuple(r) for r in retrieval.ndcg(results, relevant, "k", asked=asked).collect()) == [(1, 1.0), (2, 0.0), (3, 0.0)]
+
+
+def test_long_token_lists_take_linear_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a the " * 30_000)], "k int, t string")
+    began = time.time()
+    how = lambda c: filters.soundex(filters.stop(analyzers.segmenter(spark)(c), ["the"]))
+    got = analyzers.rows(analyzers.analyzed(docs, "t", how), "k").agg(F.count("*"), F.max("position")).first()
+    assert tuple(got) == (30_000, 59_998) and time.time() - began < 30
+
+
+def test_recommended_order(spark):
+    how = analyzers.recommended(spark, ["thai_romanization", "lowercase", "thai_keyboard_text"])
+    assert [t[0] for t in run(spark, "l;ylfu", how)] == ["สวัสดี", "sawatdi"]
+    with pytest.raises(KeyError):
+        analyzers.recommended(spark, ["other"])
+
+
+def test_keywords_keep_their_spelling():
+    step = filters.normalization()
+    assert [t[0] for t in step.rows([("นํ้า", 0, 4, 1, 1, "<THAI>"), ("นํ้า", 0, 4, 1, 1, filters.KEYWORD)])] == ["น้ำ", "นํ้า"]
