@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from lanna.session import ship
 
 #: Arrow batches end at this many bytes, so that very long texts don't gather in one batch.
 BATCH_BYTES = 8 << 20
+#: Temporary folders of applications in local mode.
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +35,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, in local mode, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not base:
-        base = tempfile.mkdtemp(prefix="lanna-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lanna-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = _local[spark.sparkContext.applicationId] = f"file://{folder}"
     return f"{base.rstrip('/')}/lanna-{uuid.uuid4().hex}"
 
 
@@ -56,6 +61,19 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Touched:
+    """Tells whether a range touches any of some (start, end, ...) ranges, in logarithmic time."""
+
+    def __init__(self, spans: list[tuple]):
+        own = sorted(spans)
+        self.starts = [x[0] for x in own]
+        self.ends = [*accumulate((x[1] for x in own), max)]
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

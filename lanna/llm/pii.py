@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, table, texts_of
+from lanna.llm.common import Touched, bounded_batches, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 WIDE = ("local", "ssn", "iban", "name")
@@ -210,9 +210,11 @@ def all_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, str]]:
     wide = sorted(wide_spans(text))
     if wide:
         p = 1 / (1 + np.exp(-features([k for _, _, k in wide], np.array([votes(text, *x) for x in wide])) @ weights))
+        touched, last = Touched(found), 0
         for (a, b, kind), sure in zip(wide, p):
-            if sure >= THRESHOLD and not any(x < b and a < y for x, y, _ in found):
+            if sure >= THRESHOLD and a >= last and not touched(a, b):
                 found.append((a, b, kind))
+                last = b
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

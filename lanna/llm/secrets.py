@@ -4,9 +4,11 @@ Base kinds, leftmost and non-overlapping each: `assign` (a keyword, a sign and a
 value of 8 or more characters), `access` (AKIA and capitals or digits, 16 or more
 characters), `hex` (32 or more lower-case hexadecimal digits).  The method adds
 `novel`: strings of 16 or more token characters with a digit and a letter, within
-CONTEXT characters after a sensitive word, whose marginal compressed bytes, given a
-dictionary of identifiers and the text on both sides, are at least NOVELTY of their
-length.  A string that a base span touches is not reported again.
+CONTEXT characters after a sensitive word, that don't compress.  Of a string what is
+no dictionary identifier is measured, as an identifier's match costs some bytes too;
+it must have REST characters or more, whose marginal compressed bytes, given the
+dictionary and the text on both sides, are at least NOVELTY of their number.  A string
+that a base span touches is not reported again.  Time is linear in the text's length.
 
 Defined results: null or empty text has no spans; null doc_ids stay null; repeated
 rows give repeated results; an empty table gives no rows.  Other columns are
@@ -24,12 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, table, texts_of
+from lanna.llm.common import Touched, bounded_batches, table, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 64
 SURROUNDING = 384
 NOVELTY = 0.66
+REST = 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -61,17 +64,23 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
+_PARTS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+_NAMES = frozenset(w for w in IDENTIFIERS.decode().lower().split() if len(w) > 2)
+
+
 @lru_cache(1)
 def _compressor() -> zstandard.ZstdCompressor:
     prime = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
-    """Compressed bytes that text[start:end] adds to the text on both sides of it."""
-    around = (text[max(0, start - SURROUNDING) : start] + "\n" + text[end : end + SURROUNDING] + "\n").encode("utf-8", "surrogatepass")
+def marginal_bytes(text: str, start: int, end: int, value: str | None = None) -> int:
+    """Compressed bytes that text[start:end], or `value` in its place, adds to the text on both sides of it, where the string itself doesn't count if it comes again."""
+    whole = text[start:end]
+    value = whole if value is None else value
+    around = (text[max(0, start - SURROUNDING) : start] + "\n" + text[end : end + SURROUNDING] + "\n").replace(whole, "").encode("utf-8", "surrogatepass")
     pack = _compressor()
-    return len(pack.compress(around + text[start:end].encode("utf-8", "surrogatepass"))) - len(pack.compress(around))
+    return len(pack.compress(around + value.encode("utf-8", "surrogatepass"))) - len(pack.compress(around))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -85,21 +94,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def rest_of(value: str) -> str:
+    """A string without the dictionary identifiers in it and the signs between them."""
+    return _PARTS.sub(lambda m: "" if m.group().lower() in _NAMES else m.group(), value).strip("_-/+=")
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Incompressible strings after sensitive words."""
     low = text.lower()
     if not any(k in low for k in _WORDS):
         return []
-    found, done = [], 0
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() > word.end() + CONTEXT:
-                break
-            done, value = m.end(), m.group()
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or any(a < m.end() and m.start() < b for a, b, _ in base):
-                continue
-            if marginal_bytes(text, m.start(), m.end()) >= novelty * len(value):
-                found.append((m.start(), m.end(), "novel"))
+    ends, at = [m.end() for m in _SENSITIVE.finditer(text)], 0
+    found, touched = [], Touched(base)
+    for m in _CANDIDATE.finditer(text):
+        while at < len(ends) and ends[at] <= m.start():
+            at += 1
+        if not at or m.start() > ends[at - 1] + CONTEXT:
+            continue
+        value = m.group()
+        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or touched(m.start(), m.end()):
+            continue
+        rest = rest_of(value)
+        if len(rest) >= REST and marginal_bytes(text, m.start(), m.end(), rest) >= novelty * len(rest):
+            found.append((m.start(), m.end(), "novel"))
     return found
 
 

@@ -314,6 +314,70 @@ def test_secrets(spark, odd_rows):
     assert secrets.mask("abcdef", [(1, 3, "x"), (2, 4, "y")], "#") == "a#ef"
 
 
+def test_secrets_in_labelled_examples():
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    strings = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 44))) for _ in range(300)]
+    strings = [x for x in strings if any(map(str.isdigit, x)) and any(map(str.isalpha, x))]
+    names = ["_".join(rng.choice(sorted(secrets._NAMES)) for _ in range(4)) + str(rng.randint(0, 99)) for _ in range(300)]
+    found = lambda x: any(k == "novel" for _, _, k in secrets.all_spans(f"the credential is {x} for the login"))
+    assert np.mean([*map(found, strings)]) > 0.97 and np.mean([*map(found, [n for n in names if len(n) > 15])]) < 0.02
+
+
+def plain_novel(t):
+    """The method's spans by looking at every pair of a word and a string."""
+    base, found = plain_secrets(t), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
+        near = any(0 <= m.start() - w.end() <= secrets.CONTEXT for w in secrets._SENSITIVE.finditer(t))
+        clear = not any(a < m.end() and m.start() < b for a, b, _ in base)
+        if len(m[0]) >= 16 and near and clear and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            rest = secrets.rest_of(m[0])
+            if len(rest) >= secrets.REST and secrets.marginal_bytes(t, m.start(), m.end(), rest) >= secrets.NOVELTY * len(rest):
+                found.append((m.start(), m.end(), "novel"))
+    return found
+
+
+def test_novel_spans():
+    rng = random.Random(6)
+    parts = ["password", "TOKEN", "bearer ", " ", " = ", "q7Zp2Lx9Vt4Rb8Nw3Kd6", "default_value_name12", "zzzzzzzzzzzzzzzz1", "\n", " word ", "x" * 40 + " "]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secrets.novel_spans(t, secrets.base_spans(t)) == plain_novel(t)
+
+
+def test_long_texts_of_spans_take_linear_time():
+    import time
+
+    began = time.time()
+    assert secrets.all_spans("token " * 170_000) == []
+    many = "token = abcdefgh12 " * 10_000
+    assert len(secrets.all_spans(many)) == 10_000
+    assert len(secrets.all_spans("token q7Zp2Lx9Vt4Rb8Nw3Kd6 " * 3_000)) > 0
+    weights = pii.train(["email"], np.array([[1, 1, 1, 0, 0]]), np.array([5.0]))
+    assert len([x for x in pii.all_spans("Mr. John Smith a@b.com 212-555-1234 " * 10_000, weights) if x[2] == "email"]) == 10_000
+    assert time.time() - began < 20
+
+
+def plain_wide(t, weights):
+    base, out = plain_personal(t), []
+    for a, b, kind in sorted(pii.wide_spans(t)):
+        sure = 1 / (1 + np.exp(-(pii.features([kind], np.array([pii.votes(t, a, b, kind)])) @ weights)[0]))
+        if sure >= pii.THRESHOLD and not any(x < b and a < y for x, y, _ in base + out):
+            out.append((a, b, kind))
+    return sorted(base + out, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_wide_spans():
+    rng = random.Random(9)
+    kinds = [k for k in pii.KINDS for _ in range(4)]
+    patterns = np.array([[rng.choice((-1, 0, 1)) for _ in pii.LABELERS] for _ in kinds])
+    weights = pii.train(kinds, patterns, np.ones(len(kinds)))
+    parts = ["Mr. John Smith", " ", "Dr Anna", "212-555-1234", "call (212) 555-1234", "123-45-6789", "ssn ", "DE89 3704 0044 0532 0130 00", "a@b.com", "order no. ", "10.0.0.1", "+1 212 555 1234", "\n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
+        assert pii.all_spans(t, weights) == plain_wide(t, weights)
+
+
 def test_personal(spark, odd_rows):
     docs = texts(spark)
     for r in pii.op10_weak_supervision(spark, SMALL).collect():
