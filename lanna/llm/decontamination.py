@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows and slot consistency.
 
 A text becomes a template: words in lower case without the signs around them,
-numbers as <num>, units after numbers as <unit>, runs of capitalised words within
-sentences as <name>.  Windows of WINDOW template tokens, at least LITERAL of them
+numbers as <num>, units after numbers as <unit>, runs of capitalised words of a
+sentence as <name>, also where they begin it.  Windows of WINDOW template tokens, at least LITERAL of them
 words, are hashed and joined with the benchmark's; an item too short for that is
 one window of its whole wording.  Matches of a document and an item are put on
 diagonals (place in the document less place in the item).  On a diagonal the slots
@@ -16,12 +16,14 @@ are at most FILTER_MOST (sorted 64-bit integers, 8 MB); a larger benchmark is jo
 by a shuffle without that filter, with the same result.
 
 Defined results: null or empty texts and items match nothing; a null doc_id or item_id is
-reported as null; repeated rows of documents are reported once; rows with one doc_id
-are judged together; an empty table gives no rows.  Other columns are ignored.
+reported as null; rows with one doc_id, or with none, are judged each by its own text and
+reported once for an item; repeated items of one item_id count as one; an empty table
+gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -99,20 +101,21 @@ class Templates:
         at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         known = self._words.table()[at]
         doc = np.repeat(np.arange(len(parts)), counts)
-        first = np.r_[True, (doc[1:] != doc[:-1]) | known["ends"][:-1]] if len(doc) else np.zeros(0, bool)
+        #: Whether a token begins a sentence.
+        self.begins = first = np.r_[True, (doc[1:] != doc[:-1]) | known["ends"][:-1]] if len(doc) else np.zeros(0, bool)
         kind = known["kind"].astype(np.int64)
         before = np.r_[SIGN, kind[:-1]] if len(kind) else kind
         kind[(kind == UNIT) & ((before != NUMBER) | first)] = WORD
-        kind[(kind == WORD) & known["capital"] & ~first] = NAME
+        kind[(kind == WORD) & known["capital"]] = NAME
         keep = kind != SIGN
-        keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME))
+        keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[1:])
         self.source = np.flatnonzero(keep)
         self.kind, self.doc = kind[keep], doc[keep]
         self.hash = np.where(self.kind == WORD, known["h"][keep], _MARKS[self.kind])
         self.wording = known["h"][keep]
         self.first = np.searchsorted(self.doc, np.arange(len(parts)))
         self.counts = np.bincount(self.doc, minlength=len(parts))
-        self._all_kinds, self._doc_of_raw = kind, doc
+        self._all_kinds = kind
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all windows with enough words."""
@@ -137,14 +140,14 @@ class Templates:
         for k in range(at, at + length):
             if self.kind[k] != WORD:
                 stop = start = int(self.source[k])
-                while self.kind[k] == NAME and stop + 1 < len(self.raw) and self._all_kinds[stop + 1] == NAME and self._doc_of_raw[stop + 1] == self._doc_of_raw[start]:
+                while self.kind[k] == NAME and stop + 1 < len(self.raw) and self._all_kinds[stop + 1] == NAME and not self.begins[stop + 1]:
                     stop += 1
                 out.append(" ".join(_EDGE.sub("", w).lower() for w in self.raw[start : stop + 1]))
         return out
 
 
 ITEMS = "item_id long, hash long, item_at int, item_slots array<string>, windows int, length int"
-HITS = "doc_id long, hash long, at int, slots array<string>"
+HITS = "doc_id long, text_md5 binary, hash long, at int, slots array<string>"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +171,23 @@ def _hits(batches: Iterator[pa.RecordBatch], wanted, lengths: list[int]) -> Iter
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for a, b in slices(batch, [len(t or "") for t in texts]):
-            t, rows = Templates(texts[a:b]), []
+            t, rows, prints = Templates(texts[a:b]), [], {}
             for length in (0, *lengths):
                 at, h = t.short(length) if length else t.windows()
                 if sought is not None and len(at):
                     good = sought[np.minimum(np.searchsorted(sought, h), len(sought) - 1)] == h
                     at, h = at[good], h[good]
                 for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                    rows.append((ids[a + t.doc[p]], x, p - int(t.first[t.doc[p]]), t.slots(p, length or WINDOW)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["doc_id", "hash", "at", "slots"])
+                    row = a + int(t.doc[p])
+                    if row not in prints:
+                        prints[row] = hashlib.md5(texts[row].encode()).digest()
+                    rows.append((ids[row], prints[row], x, p - int(t.first[t.doc[p]]), t.slots(p, length or WINDOW)))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["doc_id", "text_md5", "hash", "at", "slots"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_most: int = FILTER_MOST) -> DataFrame:
-    """doc_id, item_id, n_windows found, coverage of the item, exact (all slots have the item's values); a row for each pair that is reported."""
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_most: int = FILTER_MOST) -> DataFrame:
+    """doc_id, text_md5, item_id, n_windows found, coverage of the item, exact (all slots have the item's values); a row for each text of an id and each item that is reported."""
     spark = docs.sparkSession
     bounded_batches(spark)
     plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -198,13 +204,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     hits = texts.mapInArrow(partial(_hits, wanted=wanted, lengths=lengths), HITS)
 
     pairs = hits.join(items, "hash").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).select("doc_id", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slot")
-    lines = pairs.groupBy("doc_id", "item_id", "windows", "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slots"))  # as long as the item at most
+    pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).select("doc_id", "text_md5", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slot")
+    lines = pairs.groupBy("doc_id", "text_md5", "item_id", "windows", "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slots"))  # as long as the item at most
     theirs = F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"])))
     lines = lines.where(theirs == F.size("slots")).withColumn("exact", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
-    found = lines.groupBy("doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"), F.max("exact").alias("exact"))
+    found = lines.groupBy("doc_id", "text_md5", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"), F.max("exact").alias("exact"))
     share = F.col("n_windows") / F.col("windows")
-    return found.where(share >= coverage).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.round(share, 6).alias("coverage"), "exact")
+    return found.where(share >= coverage).select("doc_id", "text_md5", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.round(share, 6).alias("coverage"), "exact")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_most: int = FILTER_MOST) -> DataFrame:
+    """doc_id, item_id, n_windows found, coverage of the item, exact (all slots have the item's values); a row for each pair that is reported, of several texts of an id the one that covers most."""
+    found = contaminated_texts(docs, benchmark, coverage, filter_most)
+    best = F.max(F.struct("coverage", "n_windows", "exact")).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_windows", "x.coverage", "x.exact")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text holds no benchmark item."""
+    bad = written(contaminated_texts(docs, benchmark).select("text_md5").distinct())
+    return docs.join(bad, F.unhex(F.md5(F.col("text").cast("binary"))) == bad["text_md5"], "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ third of all documents share reaches the shuffle once a batch.  A whole text tha
 earlier document has is found by its md5 and not cut into windows again.
 
 Two words differ if their xxh3 hashes do, two windows if two independent 64-bit
-polynomials over them do, two texts if their md5 do.
+polynomials over them do, two texts if their md5 do, two texts of one doc_id if
+their xxhash64 do.
 
 Defined results: null or empty text has no words; a null doc_id counts as the largest
 one; rows with the same doc_id are each judged against smaller ids and themselves,
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +107,12 @@ class Words:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, doc_id, n: 2 if the document has the anchor at several places."""
+    """anchor, doc_id, text_key, n: 2 if the document has the anchor at several places."""
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
+        ids, keys, texts = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy(), batch.column("text").to_pylist()
         for a, b in slices(batch, [len(t or "") for t in texts]):
-            own = dict(sorted(zip(texts[a:b], ids[a:b].tolist()), key=lambda x: -x[1]))  # of equal texts the smallest id
-            docs = np.array([*own.values()], np.int64)
+            own = dict(sorted(zip(texts[a:b], zip(ids[a:b].tolist(), keys[a:b].tolist())), key=lambda x: -x[1][0]))  # of equal texts the smallest id
+            docs, own_keys = np.array([*own.values()], np.int64).reshape(-1, 2).T
             words = Words([*own])
             at, anchor, place = words.anchors()
             if not len(at):
@@ -121,7 +121,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = words.doc[at[starts]]
             _, index, n = np.unique(anchor[starts] + doc.astype(np.uint64) * _DOC, return_index=True, return_counts=True)
             at = starts[index]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(docs[doc[index]]), pa.array(np.minimum(2, n).astype(np.int32))], ["anchor", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at].view(np.int64)), pa.array(docs[doc[index]]), pa.array(own_keys[doc[index]]), pa.array(np.minimum(2, n).astype(np.int32))], ["anchor", "doc_id", "text_key", "n"])
 
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +130,13 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(at)])
 
 
-OPEN = "h1 long, h2 long, doc_id long, text_crc long, at int, n int, sure boolean"
+OPEN = "h1 long, h2 long, doc_id long, text_key long, at int, n int, sure boolean"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with a repeated anchor: those that repeat within the batch as runs (sure), of the others the first of each."""
     for batch in batches:
-        ids, texts, anchors = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist(), batch.column("anchors")
+        ids, keys, texts, anchors = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy(), batch.column("text").to_pylist(), batch.column("anchors")
         for a, b in slices(batch, [len(t or "") for t in texts]):
             words = Words(texts[a:b])
             at, anchor, _ = words.anchors()
@@ -159,7 +159,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen = np.lexsort((at[order], rows, group))
                 same_row[seen[1:]] = (rows[seen[1:]] == rows[seen[:-1]]) & (group[seen[1:]] == group[seen[:-1]])
             sure = (ids_s > ids_s[first]) | same_row
-            crc = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts[a:b]], np.int64)
+            key = keys[a:b]
             place = at - words.first[doc]
             back = np.empty(len(at), bool)
             back[order] = sure
@@ -168,7 +168,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             o = np.flatnonzero(~back)
             columns = [
                 np.r_[h1[o].view(np.int64), (own_ids[d].astype(np.uint64) * _DOC + p.astype(np.uint64)).view(np.int64)], np.r_[h2[o].view(np.int64), d.astype(np.int64)],
-                np.r_[own_ids[doc[o]], own_ids[d]], np.r_[crc[doc[o]], crc[d]], np.r_[place[o], p].astype(np.int32), np.r_[np.ones(len(o)), n].astype(np.int32), np.r_[np.zeros(len(o), bool), np.ones(len(s), bool)],
+                np.r_[own_ids[doc[o]], own_ids[d]], np.r_[key[doc[o]], key[d]], np.r_[place[o], p].astype(np.int32), np.r_[np.ones(len(o)), n].astype(np.int32), np.r_[np.zeros(len(o), bool), np.ones(len(s), bool)],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in OPEN.split(", ")])
 
@@ -181,14 +181,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs")):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            words = raw.split()
+            words = (text or "").encode("utf-8", "surrogatepass").split()
             spans: list[tuple[int, int]] = []
             if runs.is_valid:
-                own = runs.values
-                crc, at, n = (own.field(k).to_numpy() for k in range(3))
-                mine = crc == zlib.crc32(raw)
-                for p, m in sorted(zip(at[mine].tolist(), n[mine].tolist())):
+                at, n = (runs.values.field(k).to_numpy().tolist() for k in range(2))
+                for p, m in sorted(zip(at, n)):
                     if p < 0 and len(words) < WINDOW:
                         continue
                     p, q = (0, len(words)) if p < 0 else (p, p + m - 1 + WINDOW)
@@ -210,26 +207,26 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     row_id = F.col("doc_id").cast("long")
     docs = docs.select(F.coalesce(row_id, F.lit(LAST_ID)).alias("doc_id"), row_id.alias("row_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
 
-    # Whole texts that an earlier document has: only ids and md5 are shuffled.
-    prints = docs.select("doc_id", F.unhex(F.md5("text")).alias("print"), F.crc32(F.col("text").cast("binary")).alias("text_crc"), (F.length("text") >= 2 * WINDOW - 1).alias("long")).where("long")
+    # Whole texts that an earlier document has: only ids, keys and md5 are shuffled.
+    prints = docs.select("doc_id", "text_key", F.unhex(F.md5("text")).alias("print"), (F.length("text") >= 2 * WINDOW - 1).alias("long")).where("long").drop("long")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    judged = prints.join(firsts, "print", "left").select("doc_id", "text_crc", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy"))
-    copies = judged.where("copy").select("doc_id", "text_crc").distinct()
-    copied = judged.groupBy("doc_id").agg(F.min("copy").alias("all")).where("all").select("doc_id")  # rows with one doc_id may have other texts
+    copies = prints.join(firsts, "print").where("doc_id > first_id").select("doc_id", "text_key").distinct()
 
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long, n int")
+    # What belongs to a document is keyed by its id and its text, so rows with one id, or none, are apart.
+    anchors = docs.select("doc_id", "text_key", "text").mapInArrow(_anchors, "anchor long, doc_id long, text_key long, n int")
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    lists = anchors.select("anchor", "doc_id").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as long as the document at most
-    lists = lists.join(copied, "doc_id", "left_anti")
+    lists = anchors.select("anchor", "doc_id", "text_key").join(repeated, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))  # as long as the document at most
+    lists = lists.join(copies, ["doc_id", "text_key"], "left_anti")
 
     # With row_id, though unused here, the texts' exchange is the same as the last join's, and Spark reuses it.
-    windows = docs.join(lists, "doc_id").select("doc_id", "row_id", "text", "anchors").mapInArrow(_windows, OPEN)
-    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    removed = windows.withColumn("least", least).where("sure or doc_id > least").select("doc_id", "text_crc", "at", "n")
-    whole = copies.select("doc_id", "text_crc", F.lit(-1).alias("at"), F.lit(0).alias("n"))
-    runs = removed.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("text_crc", "at", "n")).alias("runs"))
-    return docs.join(runs, "doc_id", "left").select("row_id", "text", "runs").mapInArrow(_cut, KEPT).withColumnRenamed("row_id", "doc_id")
+    windows = docs.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "row_id", "text", "anchors").mapInArrow(_windows, OPEN)
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))  # a row for each batch that has the window
+    removed = windows.withColumn("least", least).where("sure or doc_id > least").select("doc_id", "text_key", "at", "n")
+    whole = copies.select("doc_id", "text_key", F.lit(-1).alias("at"), F.lit(0).alias("n"))
+    runs = removed.unionByName(whole).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    return docs.join(runs, ["doc_id", "text_key"], "left").select("row_id", "text", "runs").mapInArrow(_cut, KEPT).withColumnRenamed("row_id", "doc_id")
 
 
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

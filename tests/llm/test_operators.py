@@ -71,6 +71,89 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()] == [1]
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Alice has 5 apples. Bob gives her 3 more apples than before. Alice then eats 2 of all the apples she has."
+    other = "Maria has 9 apples. Tom gives her 4 more apples than before. Maria then eats 6 of all the apples she has."
+    mixed = other.replace("Maria then", "Tom then")
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: " + other), (2, mixed), (3, item)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(docs, bench).collect()}
+    assert {1, 3} <= set(got) and got[3]["exact"] and not got[1]["exact"] and got[1]["coverage"] > 0.9 and (2 not in got or got[2]["coverage"] < got[1]["coverage"])
+
+
+def plain_templates(t):
+    """Template tokens of a text and what stands in each."""
+    out, raw = [], (t or "").split()
+    first, kinds = True, []
+    for w in raw:
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+        number = bool(re.fullmatch(r"[$€£+-]?[0-9][0-9.,:/]*(?:%|[A-Za-zµ°]{1,3})?", w.strip(".,;:!?()[]\"'")) or bare.isdigit())
+        capital = bare[:1].isupper() and not bare[1:].isupper()
+        kind = "" if not bare else "num" if number else "unit" if bare.lower() in decontamination.UNITS and kinds and kinds[-1] == "num" and not first else "name" if capital else "word"
+        if kind == "name" and kinds and kinds[-1] == "name" and not first:
+            out[-1] = ("name", out[-1][1] + " " + bare.lower())
+        elif kind:
+            out.append((kind, bare.lower()))
+        kinds.append(kind)
+        first = w.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":", "|")
+    return out
+
+
+def plain_template_matches(docs, items):
+    w, found = decontamination.WINDOW, {}
+
+    def windows(t):
+        own = plain_templates(t)
+        for k in range(len(own) - w + 1):
+            part = own[k : k + w]
+            if sum(x == "word" for x, _ in part) >= decontamination.LITERAL:
+                yield k, tuple(v if x == "word" else "<" + x for x, v in part), [v for x, v in part if x != "word"]
+
+    for i, q in items:
+        theirs = [*windows(q)]
+        for d, t in docs:
+            lines = {}
+            for k, form, slots in windows(t):
+                for at, other, values in theirs:
+                    if form == other:
+                        places, pairs = lines.setdefault(k - at, (set(), set()))
+                        places.add(at)
+                        pairs.update(zip(values, slots))
+            good = [places for places, pairs in lines.values() if len({a for a, _ in pairs}) == len(pairs)]
+            n = len(set().union(*good)) if good else 0
+            if theirs and n / len(theirs) >= decontamination.COVERAGE:
+                found[d, i] = n
+    return found
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(12)
+    names, nouns, units = ["Alice", "Bob", "Carol Jones", "Lyon", "Kiel"], ["apples", "coins", "boxes"], ["km", "hours", "kg"]
+
+    def question(form):
+        pick = lambda x: rng.choice(x)
+        return form.format(a=pick(names), b=pick(names), n=rng.randint(2, 99), m=rng.randint(2, 99), x=pick(nouns), u=pick(units))
+
+    forms = [
+        "{a} has {n} {x} and gives {m} of them to {b}. How many of the {x} are left with {a} at the end?", "A train goes {n} {u} from {a} to {b} and then {m} {u} back again, how far did the old train go?",
+        "In the shop {n} {x} cost {m} coins, so what would {n} more such {x} cost to {b} in total?",
+    ]
+    items = [(k, question(rng.choice(forms))) for k in range(12)]
+    docs = [(k, rng.choice(["", "Well. ", "so it is said that "]) + question(rng.choice(forms)) + rng.choice(["", " And more text follows here.", " " + question(rng.choice(forms))])) for k in range(60)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["n_windows"] for r in got} == plain_template_matches(docs, items)
+
+
+def test_decontamination_of_rows_without_ids(spark):
+    item = "A train travels 80 km in 4 hours from Bonn to Kiel. What is the average speed of the train in km per hour then?"
+    words = item.split()
+    docs = spark.createDataFrame([(None, item), (None, "a clean text"), (None, " ".join(words[:9])), (None, " ".join(words[9:])), (5, item), (5, "another clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in decontamination.contaminated(docs, bench).collect()) in ([0, 5], [0, 0, 5])
+    left = [r["text"] for r in decontamination.clean(docs, bench).collect()]
+    assert "a clean text" in left and "another clean text" in left and item not in left and " ".join(words[:9]) in left
+
+
 def test_leaks_in_the_sample(spark):
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -434,7 +517,7 @@ def test_coding(bits, most):
 # -- 8 -----------------------------------------------------------------------
 
 
-def plain_components(rows):
+def plain_components(rows, percent=85):
     def shingles(t):
         w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -450,7 +533,7 @@ def plain_components(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 root[top(a)] = top(b)
     least = {}
     for k, (d, _) in enumerate(rows):
@@ -537,6 +620,16 @@ def test_substrings(spark, parts):
     assert all(sum(x["end"] - x["start"] for x in r["removed"]) == r["n_removed"] for r in got)
 
 
+def test_substrings_of_many_rows_without_ids(spark):
+    rng = random.Random(3)
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, " ".join(f"x{k}y{j}" for j in range(25)) + (" " + base if k % 2 else "")) for k in range(200)] + [(1, base)] + [(None, "same " * 30)] * 50
+    rng.shuffle(rows)
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=order) == sorted(plain_removal(rows), key=order)
+
+
 def test_substrings_of_odd_rows(spark, odd_rows):
     assert substrings.deduplicated(odd_rows).count() == 9 and substrings.deduplicated(odd_rows.limit(0)).count() == 0
 

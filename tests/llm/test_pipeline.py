@@ -27,7 +27,7 @@ def test_stages(spark):
     docs = documents(spark)
     rows = docs.collect()
     assert {r["doc_id"] for r in kept(spark, "language", docs)} == {r["doc_id"] for r in rows if re.search(r"[^\W\d_]", r["text"])}
-    alone = {d for d, _, c in plain_components([(r["doc_id"], r["text"]) for r in rows]) if d == c}
+    alone = {d for d, _, c in plain_components([(r["doc_id"], r["text"]) for r in rows], corpus_pipeline.NEAR_PERCENT) if d == c}
     assert {r["doc_id"] for r in kept(spark, "near_dedup", docs)} == alone
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = [plain(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -50,3 +50,16 @@ def test_odd_rows_and_empty_tables(spark, odd_rows):
         assert kept(spark, name, odd_rows.limit(0)) == []
     left = kept(spark, "near_dedup", odd_rows)
     assert sum(r["doc_id"] == 1 for r in left) == 1 and sum(r["doc_id"] is None for r in left) == 1 and len(left) == 8
+
+
+def test_rows_with_one_id_or_none_are_judged_each_for_itself(spark):
+    long = [" ".join(f"{w}{k}" for k in range(30)) for w in "abcde"]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    rows = [(1, long[0]), (1, long[1]), (1, long[1]), (2, long[0] + " more"), (None, long[2]), (None, long[3]), (None, long[2] + " x"), (None, item), (7, item), (7, long[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(t for _, t in STAGES["near_dedup"](spark, docs, SMALL).collect())
+    same = lambda a, b: plain_components([(0, a), (1, b)], corpus_pipeline.NEAR_PERCENT)[1][2] == 0
+    assert len(left) == len({t for t in left}) and not any(same(a, b) for a in left for b in left if a < b) and {long[1], rows[9][1]} <= set(left)
+    assert len([t for t in left if t.startswith(long[0])]) == 1 and len([t for t in left if t.startswith(long[2])]) == 1
+    clean = [tuple(r) for r in STAGES["decontamination"](spark, docs, SMALL).collect()]
+    assert sorted(clean, key=str) == sorted([r for r in rows if r[1] != item], key=str)
