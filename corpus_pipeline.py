@@ -4,9 +4,9 @@ Each stage works on all rows that the one before kept, and is written as Parquet
 read again before the next.  Rows go if their language is unknown or unsure, if an earlier document is a near duplicate, or if
 they hold a benchmark item; secrets are masked in the texts; what is left is packed.
 
-Defined results: null or empty texts go at the first stage (they have no language);
-null doc_ids are handed on, are no near duplicates of others, and go if a benchmark
-item is found in any of them; of repeated rows one stays; an empty table gives no rows.
+Defined results: null or empty texts go at the first stage (they have no language); rows
+are judged by their texts, so rows with one doc_id or with none are kept or dropped
+each for itself; of repeated rows one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanna.llm.common import forget, shared_dir, table, written
-from lanna.llm.decontamination import contaminated
+from lanna.llm.decontamination import clean
 from lanna.llm.language import accepted, fit
 from lanna.llm.minhash import near_duplicates
 from lanna.llm.packing import pieces_digest
@@ -27,6 +27,8 @@ from lanna.llm.secrets import redacted
 LEAST_SCORE = 0.5
 #: Texts are near duplicates if they share so many percent of their shingles.
 NEAR_PERCENT = 80
+#: The column of row numbers; no column of the documents has this name.
+NUMBER = "_row_number_of_the_pipeline"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +37,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    kept = written(near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(kept, docs["doc_id"].cast("long") == kept["_gone"], "left_anti")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null")
-    if ids.limit(1).count():  # repeated rows
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    """Keeps one document of each group: that with the smallest doc_id.
+
+    If doc_ids repeat or are null, rows are told apart by numbers of their own, so one row of each group stays whatever its doc_id.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        numbered = written(docs.withColumn(NUMBER, F.monotonically_increasing_id()))
+        gone = near_duplicates(numbered.select(F.col(NUMBER).alias("doc_id"), "text"), NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias(NUMBER))
+        return numbered.join(gone, NUMBER, "left_anti").select(*[numbered[x] for x in docs.columns])
+    gone = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias(NUMBER))
+    return docs.join(gone, own == gone[NUMBER], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    bad = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """Drops the rows whose text holds a benchmark item."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
