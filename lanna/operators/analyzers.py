@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.functions.scalar import keyboard_text
+from lanna.functions.scalar import contains_thai, keyboard_text
 from lanna.operators import filters
 from lanna.operators.normalize import normalize
 from lanna.operators.segment import MODES, SPACE, WORD, tokens
@@ -68,6 +68,12 @@ def final_offsets(text: Column, utf16: bool = False) -> Column:
     return F.coalesce(F.length(text) + (F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")) if utf16 else 0), F.lit(0))
 
 
+def all_terms(spark: SparkSession, text: Column, lexicon: Lexicon | None = None) -> Column:
+    """Terms of any text: without Thai by the native expression, so that only texts with Thai letters reach Python."""
+    thai = contains_thai(text)
+    return F.when(thai, segmenter(spark, lexicon=lexicon)(F.when(thai, text))["term"]).otherwise(native_terms(text))
+
+
 def native_token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """A row a token of text without Thai: key, position, term, start, end; a text's offsets are found in one pass over it, so nothing is shuffled."""
     cut = df.select(key, segmenter(df.sparkSession)(F.col(text)).alias("tokens"))

@@ -141,7 +141,7 @@ def token_arrays(rows: list[list[tuple] | None]) -> pa.Array:
     """Lists of tokens as an Arrow array, field by field."""
     flat = [t for own in rows if own for t in own]
     columns = zip(*flat) if flat else [()] * len(FIELDS)
-    fields = [pa.array(x, kind) for x, kind in zip(columns, _FIELD_TYPES)]
+    fields = [pa.array(np.fromiter(x, np.int32, len(flat))) if kind == pa.int32() else pa.array(x, kind) for x, kind in zip(columns, _FIELD_TYPES)]
     ends = np.concatenate([[0], np.cumsum([len(x or ()) for x in rows], dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, FIELDS), mask=pa.array([x is None for x in rows]))
 

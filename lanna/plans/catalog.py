@@ -32,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, so a small one, is dealt out to all of them before costly expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, text."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -44,7 +55,7 @@ POSITIONS_SQL = f"""SELECT doc_id, lower(terms[i]) AS term, i - 1 AS position FR
 
 
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.terms(documents(spark, sf_dir), "doc_id", "text")
 
 
 @query("token_topk", f"SELECT lower(term) AS term, count(*) AS n FROM ({TERMS_SQL}) GROUP BY 1 ORDER BY n DESC, term LIMIT 20")
@@ -60,7 +71,7 @@ PIECES_SQL = f"""SELECT doc_id, pieces[i] AS term, i FROM (SELECT doc_id, pieces
     SELECT doc_id, term, sum(length(term)) OVER w AS tail, sum(CASE WHEN regexp_full_match(term, '[ \\t\\r\\n]*') THEN 0 ELSE 1 END) OVER w - 1 AS position
     FROM ({PIECES_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE NOT regexp_full_match(term, '[ \\t\\r\\n]*')""")
 def token_offsets(spark, sf_dir):
-    return analyzers.native_token_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return analyzers.native_token_rows(documents(spark, sf_dir), "doc_id", "text")
 
 
 @query("token_type_counts", f"""SELECT CASE WHEN regexp_matches(term, '^[a-zA-Z]') THEN 'word' WHEN regexp_matches(term, '^[0-9]') THEN 'number' ELSE 'sign' END AS kind, count(*) AS n
@@ -316,7 +327,7 @@ def stopword_filter(spark, sf_dir):
     """Terms that the filter keeps, at the positions they had."""
     ship(spark)
     how = lambda text: filters.stop(filters.lowercase(analyzers.segmenter(spark)(text)), STOPS)
-    rows = analyzers.rows(analyzers.analyzed(table(spark, sf_dir, "documents"), "text", how), "doc_id")
+    rows = analyzers.rows(analyzers.analyzed(documents(spark, sf_dir), "text", how), "doc_id")
     return rows.groupBy("term").agg(F.count("*").alias("n"), F.sum("position").alias("positions"))
 
 
@@ -414,7 +425,7 @@ def ranked_sql(scores: str, most: int) -> str:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(retrieval.term_lists(table(spark, sf_dir, "documents"), "doc_id", "text"), search_terms(spark, sf_dir), "doc_id")
+    return retrieval.bm25(retrieval.term_lists(documents(spark, sf_dir), "doc_id", "text"), search_terms(spark, sf_dir), "doc_id")
 
 
 @query("bm25_top10", ranked_sql(SCORES_SQL, 10))
@@ -441,7 +452,7 @@ def layered_should(spark, sf_dir):
 @query("lenient_relevance", f"SELECT DISTINCT term, doc_id FROM (SELECT DISTINCT term FROM ({QUERY_SQL})) JOIN documents ON contains(lower(text), term)")
 def lenient_relevance(spark, sf_dir):
     """Of every search term the documents that hold it, also inside words."""
-    return retrieval.containing(table(spark, sf_dir, "documents"), search_terms(spark, sf_dir), "doc_id", "text")
+    return retrieval.containing(documents(spark, sf_dir), search_terms(spark, sf_dir), "doc_id", "text")
 
 
 GOLD_SQL = MATCH_ALL_SQL
@@ -517,7 +528,7 @@ def sampled_queries(spark, sf_dir):
     c AS (SELECT doc_id, tail - length(term) AS b, tail FROM (SELECT doc_id, term, sum(length(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS tail FROM w) WHERE NOT regexp_full_match(term, '[ \\t\\r\\n]*')),
     s AS (SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM c) AS m, (SELECT count(*) FROM a JOIN c USING (doc_id, b, tail)) AS hits) SELECT round(hits / n, 6) AS precision, round(hits / m, 6) AS recall, round(2 * (hits / n) * (hits / m) / (hits / n + hits / m), 6) AS f1 FROM s""")
 def segmentation_f1(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     ours = analyzers.native_token_rows(docs, "doc_id", "text").select("doc_id", "start", "end")
     sizes = F.transform(F.regexp_extract_all("text", F.lit(r"[ \t\r\n]+|[^ \t\r\n]+"), F.lit(0)), lambda x: F.struct(x.alias("term"), F.length(x).alias("n")))
     cut = docs.select("doc_id", sizes.alias("x")).select("doc_id", F.arrays_zip(F.col("x.term").alias("term"), filters.running("sum")(F.col("x.n")).alias("end")).alias("x"))
@@ -531,7 +542,7 @@ def segmentation_f1(spark, sf_dir):
 def thai_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thai sentences picked by the keys of all parts: p_partkey, text."""
     term = F.element_at(F.array(*map(F.lit, expected.TEXTS)), (F.col("p_partkey") % len(expected.TEXTS) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", term.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", term.alias("text"))
 
 
 def written_sql(rows: list[tuple], columns: str) -> str:
@@ -595,7 +606,7 @@ def safe_cuts(spark, sf_dir):
 
 @query("final_offsets", "SELECT doc_id, length(text) AS final_offset FROM documents")
 def final_offsets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", analyzers.final_offsets(F.col("text")).alias("final_offset"))
+    return documents(spark, sf_dir).select("doc_id", analyzers.final_offsets(F.col("text")).alias("final_offset"))
 
 
 @query("mixed_phrases", written_sql(expected.PHRASES, "phrase"))
@@ -608,9 +619,15 @@ def mixed_phrases(spark, sf_dir):
 
 @query("documents_by_segmenter", f"SELECT lower(term) AS term, count(*) AS n FROM ({TERMS_SQL}) GROUP BY 1")
 def documents_by_segmenter(spark, sf_dir):
+    """Terms of all documents, those with Thai letters cut by the segmenter, the others by the native expression."""
+    terms = documents(spark, sf_dir).select(F.explode(analyzers.all_terms(spark, F.col("text"))).alias("term"))
+    return terms.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("documents_by_python", f"SELECT doc_id, len(regexp_extract_all(text, {quoted(analyzers.WORD)})) AS n FROM documents")
+def documents_by_python(spark, sf_dir):
     """The segmenter itself over all documents; it must agree with the native expression."""
-    tokens = analyzers.analyzed(table(spark, sf_dir, "documents"), "text", analyzers.segmenter(spark))
-    return tokens.select(F.explode("tokens.term").alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+    return documents(spark, sf_dir).select("doc_id", F.size(analyzers.segmenter(spark)(F.col("text"))).cast("long").alias("n"))
 
 
 @query("streamed_terms", f"SELECT lower(term) AS term, count(*) AS n FROM ({TERMS_SQL}) GROUP BY 1")
