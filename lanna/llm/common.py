@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -61,6 +61,21 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_turn = ""
+
+
+def take_turn(name: str, clear: Callable[[], None]) -> None:
+    """An operator's tables in a worker process begin to be used; those of others, which the process may keep from earlier stages, are emptied."""
+    global _turn
+    _caches[name] = clear
+    if _turn != name:
+        for other, empty in _caches.items():
+            if other != name:
+                empty()
+        _turn = name
+
+
 class Touched:
     """Tells whether a range touches any of some (start, end, ...) ranges, in logarithmic time."""
 

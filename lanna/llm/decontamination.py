@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, slices, table, written
+from lanna.llm.common import bounded_batches, slices, table, take_turn, written
 from lanna.llm.substrings import mixed, rolling
 
 WINDOW = 8
@@ -89,7 +89,12 @@ class Templates:
 
     _words = _Words()
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._words = _Words()
+
     def __init__(self, texts: list[str | None]):
+        take_turn("decontamination", Templates.forget)
         if len(self._words) > _WORDS_KEPT:
             Templates._words = _Words()
         find, self.raw, parts = self._words.__getitem__, [], []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, table, texts_of, written
+from lanna.llm.common import bounded_batches, table, take_turn, texts_of, written
 
 MAX_WORDS = 60_000
 MAX_GRAMS = 200_000
@@ -38,7 +38,17 @@ UNKNOWN = "und"
 FLUSH = 100_000
 CACHE = 100_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Characters that count as parts of words but are neither letters nor decimal digits, as ranges: superscripts, fractions, Roman and circled numbers."""
+    own = [c for c in range(0x110000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    ends = [c for c in own if c + 1 not in own_set] if (own_set := set(own)) else []
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip((c for c in own if c - 1 not in own_set), ends))
+
+
+#: Runs of letters.
+_WORD = re.compile(rf"[^\W\d_{_numerals()}]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,10 +162,14 @@ class _Predictor:
         self.model, self.rows = model, _Rows(model)
         self.langs = np.array(model.langs + [UNKNOWN])
 
+    def _forget(self) -> None:
+        self.rows = _Rows(self.model)
+
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         model = self.model
+        take_turn("language", self._forget)
         if len(self.rows) > len(model.words) + CACHE:
-            self.rows = _Rows(model)
+            self._forget()
         score, best, found = np.zeros(len(texts)), np.full(len(texts), len(model.langs)), []
         for text in texts:
             words = _WORD.findall(text.lower())

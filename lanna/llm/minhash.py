@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, slices, table, written
+from lanna.llm.common import bounded_batches, slices, table, take_turn, written
 from lanna.llm.substrings import mixed, rolling
 
 SHINGLE = 5
@@ -74,6 +74,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    take_turn("minhash", _hashes.clear)
     if len(_hashes) > _WORDS_KEPT:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanna.llm.common import bounded_batches, slices, table
+from lanna.llm.common import bounded_batches, slices, table, take_turn
 
 WINDOW = 20
 GRAM = 8
@@ -77,6 +77,7 @@ class Words:
     _hashes = _Hashes()
 
     def __init__(self, texts: list[str | None]):
+        take_turn("substrings", self._hashes.clear)
         if len(self._hashes) > _WORDS_KEPT:
             self._hashes.clear()
         find, parts = self._hashes.__getitem__, []

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lanna.llm.common import take_turn
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
@@ -234,6 +236,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's count; `tail` is put after each text."""
+        take_turn("tokens", self._clear)
         if len(self._index) > self._limit:
             self._shorten()
         direct, at, lines = {}, [np.zeros(0, np.int64)] * len(texts), {}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanna.llm import decontamination, language, matroska, minhash, packing, pii, pseudo_likelihood, secrets, substrings, token_files, tokens
+from lanna.llm import decontamination, language, matroska, minhash, packing, pii, pseudo_likelihood, queries, secrets, substrings, token_files, tokens
 
 SMALL = "/root/testdata/sf0.001"
 NEEDED = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -180,6 +180,66 @@ def test_language(spark, odd_rows):
     assert kept.schema == odd_rows.schema and kept.where("doc_id in (2, 3, 4, 6)").count() == 0
 
 
+def test_texts_without_letters(spark):
+    model = language.Model(["de", "en"], np.array([5.0, 5.0]), {"schule": np.array([9.0, 0.0]), "school": np.array([0.0, 9.0])})
+    odd = ["² ½ Ⅳ ①", "٣ 4 ५", "_ -", "", None, "x²", "ªb", "学校"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert [got[k] == "und" for k in range(len(odd))] == [not any(c.isalpha() for c in t or "") for t in odd]
+
+
+def plain_model(rows, langs):
+    """Word and n-gram log frequencies, counted without Spark."""
+    words = {x: Counter() for x in langs}
+    for _, t, lang in rows:
+        words[lang].update("".join(c if c.isalpha() else " " for c in t.lower()).split())
+    every = sorted({w for c in words.values() for w in c})
+    counts = {w: np.array([words[x][w] for x in langs], float) for w in every}
+    total = sum(counts.values())
+    logs = {w: np.log((c + 0.05) / (total + 0.05 * len(every) + 1)) for w, c in counts.items()}
+    grams = {}
+    for n in range(1, language.MAX_GRAM + 1):
+        own = {}
+        for w, c in counts.items():
+            for g in language.grams(w, n):
+                own[g] = own.get(g, 0) + np.log1p(c)
+        whole = sum(own.values())
+        grams[n] = {g: np.log((c + 0.05) / (whole + 0.05 * len(own))) for g, c in own.items()}
+
+    def of_word(w):
+        if w in logs:
+            return logs[w]
+        for n in range(min(language.MAX_GRAM, len(w) + 2), 0, -1):
+            known = [grams[n][g] for g in language.grams(w, n) if g in grams[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(langs))
+
+    n = np.array([sum(x == lang for _, _, x in rows) for lang in langs], float)
+    prior = np.log((n + 1) / (n + 1).sum())
+
+    def predict(t):
+        found = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not found:
+            return "und", 0.0
+        z = sum(map(of_word, found)) + prior
+        p = np.exp(z - z.max())
+        return langs[int(np.argmax(z))], float((p / p.sum()).max())
+
+    return predict
+
+
+def test_language_by_brute_force(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents(spark).where("lang is not null").orderBy("doc_id").limit(90).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    predict = plain_model(fold, sorted({x for _, _, x in fold}))
+    got = language.identify(docs, language.fit(docs)).collect()
+    for r in got:
+        lang, score = predict(dict((d, t) for d, t, _ in rows)[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
 def test_backoff():
     model = language.Model(["de", "en"], np.array([5.0, 5.0]), {"schule": np.array([9.0, 0.0]), "school": np.array([0.0, 9.0])})
     predict = language._Predictor(model)
@@ -640,3 +700,18 @@ def test_rolling_hash():
         base = 0x9E3779B97F4A7C15
         expected = [sum(int(x) * pow(base, n - 1 - k, 1 << 64) for k, x in enumerate(h[a : a + n])) % (1 << 64) for a in range(51 - n)]
         assert substrings.rolling(h, n, np.uint64(base)).tolist() == expected
+
+
+# -- SQL ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", [*queries.ORACLE_SQL])
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SMALL}/documents.parquet')")
+    expected = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in expected.description]
+    rows = sorted(expected.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, SMALL).collect()) == rows
