@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,18 +128,17 @@ class Model:
                 at += len(found)
         self.logs = (np.vstack(rows) if rows else np.zeros((0, len(langs)))).astype(np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequencies of the longest known n-grams of a word."""
+    def known(self, word: str) -> list[int]:
+        """Rows of the longest known n-grams of a word."""
         for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
-            index = self.grams[n]
-            known = [index[g] for g in grams(word, n) if g in index]
-            if known:
-                return self.logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            found = [*map(self.grams[n].get, grams(word, n))]
+            if any(x is not None for x in found):
+                return [x for x in found if x is not None]
+        return []
 
 
 class _Rows(dict):
-    """Row numbers of words; unknown ones get a further row when they are first met."""
+    """Row numbers of words; unknown ones get a further row when they are first met: the mean of their n-grams' rows."""
 
     def __init__(self, model: Model):
         super().__init__(model.words)
@@ -146,12 +146,17 @@ class _Rows(dict):
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self.logs) + len(self.new)
-        self.new.append(self.model.unseen(word))
+        self.new.append(self.model.known(word))
         return row
 
     def all_logs(self) -> np.ndarray:
         if self.new:
-            self.logs, self.new = np.vstack([self.logs, np.array(self.new)]), []
+            counts = np.fromiter(map(len, self.new), np.int64, len(self.new))
+            rows, some = np.zeros((len(counts), self.logs.shape[1]), np.float32), np.flatnonzero(counts)
+            if len(some):
+                flat = self.model.logs[np.fromiter(chain.from_iterable(self.new), np.int64)]
+                rows[some] = np.add.reduceat(flat, (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
+            self.logs, self.new = np.vstack([self.logs, rows]), []
         return self.logs
 
 

@@ -15,6 +15,7 @@ raises ValueError.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -139,7 +140,15 @@ def _laced(data: bytes, at: int, stop: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """Walks the elements of a file; byte ranges refer to `data`."""
+    """What a file holds; byte ranges refer to `data`.  A file that is cut short or no Matroska file is a ValueError."""
+    try:
+        return _walked(data)
+    except (IndexError, struct.error) as broken:
+        raise ValueError("the file is cut short or broken") from broken
+
+
+def _walked(data: bytes) -> Media:
+    """Walks the elements of a file."""
     key, at = vint(data, 0, True)
     if key != EBML:
         raise ValueError("no EBML header")
@@ -200,8 +209,6 @@ def parse(data: bytes) -> Media:
             elif key == CODEC:
                 out.tracks[-1]["codec"] = body.decode()
             elif key == FREQUENCY:
-                import struct
-
                 out.tracks[-1]["rate"] = struct.unpack(">f" if len(body) == 4 else ">d", body)[0]
             elif key == CUE_TIME:
                 out.cues[-1] = (n, *out.cues[-1][1:])

@@ -46,6 +46,7 @@ BATCH = 512
 RATE = 0.15
 FLUSH = 200_000
 COMMON = 20_000
+PARTS, GROUP = 16, 64
 SMOOTH = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -240,7 +241,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch
 
 
 def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.RecordBatch]:
-    """A row a task: its network and its tokens."""
+    """Of a task PARTS rows: its tokens and a part of its network's numbers."""
     flat, seen = now.value.copy(), 0
     net, rng = opened(flat), np.random.default_rng(seed)
     for batch in batches:
@@ -253,18 +254,19 @@ def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.Rec
                 train_step(net, target[own], around[own], RATE * BATCH ** 0.5 / 4)
             seen += len(target)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat * np.float32(1)).tobytes()], pa.binary())], ["tokens", "network"])
+        parts = np.array_split(flat, PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(PARTS)], pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "tokens", "network"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the tasks' networks, weighed by tokens, in parts of the numbers so that Spark can add them."""
-    total, weight = None, 0
+    """Sums of the parts of the tasks' networks, weighed by tokens."""
+    sums: dict[int, tuple[int, np.ndarray]] = {}
     for batch in batches:
-        for n, raw in zip(batch.column("tokens").to_pylist(), batch.column("network").to_pylist()):
-            own = np.frombuffer(raw, np.float32).astype(np.float64) * n
-            total, weight = own if total is None else total + own, weight + n
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "total"])
+        for part, n, raw in zip(*(batch.column(k).to_pylist() for k in ("part", "tokens", "network"))):
+            weight, total = sums.get(part, (0, 0.0))
+            sums[part] = weight + n, total + np.frombuffer(raw, np.float32).astype(np.float64) * n
+    rows = [(part, weight, total.tobytes()) for part, (weight, total) in sums.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "tokens", "total"])
 
 
 def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUNDS) -> np.ndarray:
@@ -274,13 +276,13 @@ def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUN
     part = docs if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
     encoded = written(part.mapInArrow(partial(_encode, vocab=shared), "ids binary"))  # once for all rounds
     for k in range(rounds):
-        copies = encoded.mapInArrow(partial(_train, now=spark.sparkContext.broadcast(now), seed=k), "tokens long, network binary")
-        # Copies are added up in groups of 32, so the driver gets few sums; a copy's group is its task's number.
-        groups = copies.withColumn("g", F.floor(F.spark_partition_id() / 32)).repartition("g").select("tokens", "network").mapInArrow(_add, "tokens long, total binary").collect()
-        weight = sum(r["tokens"] for r in groups)
+        copies = encoded.mapInArrow(partial(_train, now=spark.sparkContext.broadcast(now), seed=k), "part int, tokens long, network binary")
+        # Copies are added up in groups of GROUP tasks, each part by itself, so no task takes whole networks of many and the driver gets few sums.
+        groups = copies.withColumn("g", F.floor(F.spark_partition_id() / GROUP)).repartition("g", "part").select("part", "tokens", "network").mapInArrow(_add, "part int, tokens long, total binary").collect()
+        weight = sum(r["tokens"] for r in groups if r["part"] == 0)
         if not weight:
             return now if share == 1 else train(docs, vocab, 1, rounds)
-        now = (sum(np.frombuffer(r["total"], np.float64) for r in groups) / weight).astype(np.float32)
+        now = np.concatenate([sum(np.frombuffer(r["total"], np.float64) for r in groups if r["part"] == p) / weight for p in range(PARTS)]).astype(np.float32)
     return now
 
 

@@ -347,6 +347,20 @@ def test_matroska_parser():
     assert [m.vint(m.size_field(n), 0, False)[0] for n in (0, 126, 127, 16382, 16383, 10**9)] == [0, 126, 127, 16382, 16383, 10**9]
 
 
+def test_broken_media():
+    rng = random.Random(4)
+    whole = matroska.mux(b"x" * 1152)
+    for _ in range(3000):
+        raw = bytearray(whole[: rng.randint(0, len(whole))])
+        for _ in range(rng.randint(0, 6)):
+            if raw:
+                raw[rng.randrange(min(len(raw), 400))] = rng.randrange(256)
+        try:
+            matroska.parse(bytes(raw))
+        except ValueError:
+            pass
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
