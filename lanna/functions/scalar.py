@@ -59,6 +59,11 @@ def strip_tones(text: Column, tones: bool = True, thanthakhat: bool = True) -> C
     return F.regexp_replace(text, f"[{drop}]", "") if drop else text
 
 
+def lower(text: Column) -> Column:
+    """Lower case, each character by itself: no dot is left of a dotted I, and a sigma is one whatever follows."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 SOUND_LETTERS = "กขฃคฅฆงจฉชฌญฎฏฐฑฒณดตถทธนบปผพฝฟภมยรลวศษสหฬอฮ"
 _S = f"[{SOUND_LETTERS}]"
 #: Pattern and replacement, in order; $1 is the group.

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanna.functions.scalar import contains_thai, keyboard_text
+from lanna.functions.scalar import contains_thai, keyboard_text, lower
 from lanna.operators import filters
 from lanna.operators.normalize import normalize
 from lanna.operators.segment import MODES, SPACE, WORD, tokens
@@ -63,6 +63,11 @@ def segmenter(spark: SparkSession, mode: str = "none", lexicon: Lexicon | None =
     return Cutter(spark, mode, lexicon, utf16)
 
 
+def reloadable(spark: SparkSession, load: Callable[[], Lexicon], mode: str = "none") -> Callable[[Column], Column]:
+    """A segmenter whose lexicon is loaded anew, and sent anew, each time it is applied to a column, so that a later batch job sees edits."""
+    return lambda text: segmenter(spark, mode, load())(text)
+
+
 def final_offsets(text: Column, utf16: bool = False) -> Column:
     """Where the token streams of a column end: the whole length, white space included."""
     return F.coalesce(F.length(text) + (F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")) if utf16 else 0), F.lit(0))
@@ -94,7 +99,7 @@ def normalized(spark: SparkSession) -> Callable[[Column], Column]:
 def keyword(spark: SparkSession) -> Callable[[Column], Column]:
     """The normalizer of keyword fields: canonical spelling in lower case."""
     spell = normalized(spark)
-    return lambda text: F.lower(spell(text))
+    return lambda text: lower(spell(text))
 
 
 def chain(steps: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,29 +42,22 @@ def variants(tokens: Column, make: Callable[[Column], Column], kind: str, keep:
     return F.flatten(F.transform(tokens, one))
 
 
-def _nested(of: pa.Array, values: np.ndarray | pa.Array) -> pa.ListArray:
-    """Lists as long as those of `of` with other values."""
-    lengths = np.diff(of.offsets.to_numpy())
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
-
-
 def running(kind: str) -> Callable[[Column], Column]:
     """A vectorized function over arrays of int: `sum`, the running sums of each; or `carry`, of each place the last value above 0 before it, else -1."""
 
     @F.arrow_udf("array<int>")
     def apply(column: pa.Array) -> pa.Array:
-        column = column.fill_null([]) if column.null_count else column
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = np.diff(column.offsets.to_numpy())
+        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)  # null arrays give empty ones
         starts = np.cumsum(lengths) - lengths
         if kind == "sum":
             sums = np.concatenate([[0], np.cumsum(flat)])
-            out = sums[1:] - np.repeat(sums[starts], lengths)
+            out = sums[1:] - np.repeat(sums[starts], lengths)  # less what came before the row
         else:
             at = np.arange(len(flat))
             last = np.concatenate([[-1], np.maximum.accumulate(np.where(flat > 0, at, -1))])[:-1] if len(flat) else at
             out = np.where(last >= np.repeat(starts, lengths), flat[last], -1) if len(flat) else flat
-        return _nested(column, pa.array(out.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(out.astype(np.int32)))
 
     return apply
 
@@ -94,7 +88,7 @@ def keyboard(tokens: Column, way: str | None = None, keep: bool = True, least: i
     def make(t: Column) -> Column:
         there, back = scalar.to_kedmanee(t["term"]), scalar.to_qwerty(t["term"])
         other = there if way == scalar.FORWARD else back if way == scalar.BACKWARD else F.when(scalar.contains_thai(t["term"]), back).otherwise(there)
-        return F.when(F.length(t["term"]) >= max(1, least), other)
+        return F.when(F.octet_length(F.encode(t["term"], "UTF-16BE")) >= 2 * max(1, least), other)  # UTF-16 units
 
     return variants(tokens, make, "<KEYBOARD_CORRECTED>", keep)
 
@@ -126,10 +120,11 @@ class Steps:
 
         @F.arrow_udf(TOKENS)
         def apply(tokens: pa.Array) -> pa.Array:
-            fields = [x.to_pylist() for x in tokens.flatten().flatten()] if len(tokens) else [[]] * len(FIELDS)
-            flat, ends = list(zip(*fields)), tokens.offsets.to_pylist()
-            base = ends[0] if ends else 0
-            return token_arrays([rows(flat[a - base : b - base]) if ok else None for a, b, ok in zip(ends, ends[1:], tokens.is_valid().to_pylist())])
+            flat, at, out = list(zip(*(x.to_pylist() for x in tokens.flatten().flatten()))), 0, []
+            for n in pc.list_value_length(tokens).to_pylist():
+                out.append(None if n is None else rows(flat[at : at + n]))
+                at += n or 0
+            return token_arrays(out)
 
         return apply(column)
 
@@ -203,7 +198,7 @@ def collation(tokens: Column, strength: str = "tertiary", decomposition: str = "
 
 
 def lowercase(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: with_fields(t, term=F.lower(t["term"])))
+    return F.transform(tokens, lambda t: with_fields(t, term=scalar.lower(t["term"])))
 
 
 def stop(tokens: Column, words: list[str]) -> Column:

@@ -207,3 +207,36 @@ def test_recommended_order(spark):
 def test_keywords_keep_their_spelling():
     step = filters.normalization()
     assert [t[0] for t in step.rows([("นํ้า", 0, 4, 1, 1, "<THAI>"), ("นํ้า", 0, 4, 1, 1, filters.KEYWORD)])] == ["น้ำ", "นํ้า"]
+
+
+def test_lower_case_by_characters(spark):
+    assert applied(spark, ["İSTANBUL ΟΔΟΣ Éa", None], scalar.lower) == ["istanbul οδοσ éa", None]
+
+
+def test_least_length_counts_utf16_units(spark):
+    token = lambda c: F.array(F.struct(c.alias("term"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(1).alias("pos_inc"), F.lit(1).alias("pos_len"), F.lit("x").alias("type")))
+    assert [t[0] for t in run(spark, "😀a", lambda c: filters.keyboard(token(c), least=3))] == ["😀a", "😀ฟ"]
+    assert [t[0] for t in run(spark, "éa", lambda c: filters.keyboard(token(c), least=3))] == ["éa"]
+
+
+def test_a_lexicon_is_reloaded_in_batch_jobs(spark):
+    lexicon = dictionary.Lexicon({"กบ": 1.0})
+    how = analyzers.reloadable(spark, lambda: lexicon)
+    df = spark.createDataFrame([("กบขาว",)], "t string")
+    first = [t["term"] for t in df.select(how(F.col("t")).alias("x")).first()["x"]]
+    lexicon.add("กบขาว", 5.0)
+    assert first == ["กบ", "ขาว"] and [t["term"] for t in df.select(how(F.col("t")).alias("x")).first()["x"]] == ["กบขาว"]
+
+
+def test_text_without_thai_stays_native(spark):
+    df = spark.createDataFrame([("a b-c 1.5% é",), ("กบ ab",), (None,)], "t string")
+    assert [r["x"] for r in df.select(analyzers.all_terms(spark, F.col("t")).alias("x")).collect()] == [["a", "b-c", "1.5%", "é"], ["กบ", "ab"], []]
+
+
+def test_null_token_lists(spark):
+    df = spark.createDataFrame([(1, "a the b"), (2, None), (3, "")], "k int, t string").select("k", F.when(F.col("k") != 2, analyzers.segmenter(spark)(F.col("t"))).alias("x"))
+    steps = (lambda c: filters.stop(c, ["the"]), filters.soundex, filters.number(), filters.normalization(), filters.romanization(), filters.lowercase, filters.acronym, filters.collation)
+    for step in steps:
+        got = {r["k"]: r["y"] for r in df.select("k", step(F.col("x")).alias("y")).collect()}
+        assert not got[2] and got[3] == [] and got[1]
+    assert analyzers.rows(df.withColumnRenamed("x", "tokens"), "k").count() == 3
