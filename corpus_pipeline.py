@@ -32,7 +32,7 @@ NUMBER = "_row_number_of_the_pipeline"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the texts whose language is known."""
+    """Keeps the rows whose text has a language that is likely enough; null texts and texts without letters go, null doc_ids stay."""
     return accepted(docs, fit(docs), LEAST_SCORE)
 
 
@@ -56,13 +56,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; n_chars follows the text."""
+    """Masks secrets, and n_chars follows the text; all rows stay, null and empty texts as they are."""
     clean = redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences; null or empty texts are documents of the end id alone, repeated rows are packed each."""
     return pieces_digest(docs)
 
 
