@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import accumulate
 
 import pyarrow as pa
@@ -74,6 +77,10 @@ def take_turn(name: str, clear: Callable[[], None]) -> None:
             if other != name:
                 empty()
         _turn = name
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it keeps what is freed
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Touched:

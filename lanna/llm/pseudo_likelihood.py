@@ -11,9 +11,10 @@ the corpus, smoothed by SMOOTH; the shares of the COMMON next words are looked u
 tasks, those of all others come from a join with the word counts.  A document's score
 is the sum of the conditional log-probabilities of all its tokens.
 
-Training is data-parallel: each round, every task trains a copy of the network on its
-part of the documents, all of which are used, and Spark averages the copies, weighed by
-tokens.  So what is gathered, word counts and copies,
+Training is data-parallel: each round, every shard of the documents, all of which are
+used, trains a copy of the network, and Spark averages the copies, weighed by tokens.
+Documents are dealt to shards by a hash of text and id, and sorted by it, and the number of
+shards follows from the corpus's tokens, so scores don't depend on how the input is split.  So what is gathered, word counts and copies,
 grows with the input; what is broadcast, one network and the common words, is of fixed size.
 
 Defined results: null or empty text has no tokens and score 0, its mean is null; null
@@ -47,6 +48,8 @@ RATE = 0.15
 FLUSH = 200_000
 COMMON = 20_000
 PARTS, GROUP = 16, 64
+#: A shard has about so many tokens.
+SHARD_TOKENS = 4_000_000
 SMOOTH = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -85,8 +88,9 @@ class Vocabulary(dict):
     count (0 where the id is a word's own), and `counts`, which stays on the driver, the counts of all words.
     """
 
-    def __init__(self, words: dict[str, int], buckets: list[int], common: dict[str, float], totals: np.ndarray, counts: DataFrame | None = None):
+    def __init__(self, words: dict[str, int], buckets: list[int], common: dict[str, float], totals: np.ndarray, counts: DataFrame | None = None, size: int = 0):
         super().__init__(words)
+        self.size = size  # tokens of the corpus
         self.fixed, self.buckets, self.common, self.totals, self.counts = len(words), buckets, common, totals, counts
         self.shared = np.zeros(VOCABULARY, bool)
         self.shared[buckets] = True
@@ -135,7 +139,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             words[x] = k
     for r in rows:  # one more word in each bucket stands for words that were not counted
         totals[places[r["bucket"]]] = np.log(r["n"] + SMOOTH * (r["types"] + 1))
-    return Vocabulary(words, places, common, totals, counts)
+    return Vocabulary(words, places, common, totals, counts, sum(known.values()) + sum(buckets.values()))
 
 
 SHAPES = {
@@ -232,12 +236,13 @@ def train_step(net: dict[str, np.ndarray], target: np.ndarray, around: np.ndarra
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
-    """The ids of each text, two bytes a token."""
+    """The ids of each text, two bytes a token, and its key."""
     find = vocab.value.__getitem__
     for batch in batches:
         texts = texts_of(batch)
         for a, b in slices(batch, [*map(len, texts)]):
-            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter(map(find, t), np.int16, len(t)).tobytes() for t in map(tokens, texts[a:b])], pa.binary())], ["ids"])
+            ids = [np.fromiter(map(find, t), np.int16, len(t)).tobytes() for t in map(tokens, texts[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("key")[a:b]], ["ids", "key"])
 
 
 def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.RecordBatch]:
@@ -274,7 +279,10 @@ def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUN
     spark = docs.sparkSession
     shared, now = spark.sparkContext.broadcast(vocab), start()
     part = docs if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    encoded = written(part.mapInArrow(partial(_encode, vocab=shared), "ids binary"))  # once for all rounds
+    keyed = part.select("text", F.xxhash64("text", *[c for c in part.columns if c == "doc_id"]).alias("key"))
+    encoded = written(keyed.mapInArrow(partial(_encode, vocab=shared), "ids binary, key long"))  # once for all rounds
+    shards = max(1, -(-vocab.size // (share * SHARD_TOKENS)))
+    encoded = encoded.repartition(shards, "key").sortWithinPartitions("key").select("ids")
     for k in range(rounds):
         copies = encoded.mapInArrow(partial(_train, now=spark.sparkContext.broadcast(now), seed=k), "part int, tokens long, network binary")
         # Copies are added up in groups of GROUP tasks, each part by itself, so no task takes whole networks of many and the driver gets few sums.
@@ -318,7 +326,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocab = vocabulary(plain.select("text"))
-    return score(plain, vocab, train(plain.select("text"), vocab))
+    return score(plain, vocab, train(plain, vocab))
 
 
 def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

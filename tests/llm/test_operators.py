@@ -399,6 +399,38 @@ def test_pseudo_likelihood_trains_on_all_documents(spark):
     assert not np.array_equal(p.train(few, vocab, share=40), p.start())
 
 
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_TOKENS", 4000)
+    docs = documents(spark).select("doc_id", "text").orderBy("doc_id").limit(60).cache()
+    scores = []
+    for n in (1, 5):
+        rows = pseudo_likelihood.pseudo_likelihood(docs.repartition(n)).collect()
+        scores.append(sorted((r["doc_id"], r["n_tokens"], r["log_likelihood"]) for r in rows))
+    assert np.allclose(*(np.array(x, float) for x in scores), rtol=1e-5)
+
+
+def test_pseudo_likelihood_by_brute_force(spark):
+    """Each token by itself, from both sides, with plain loops."""
+    p = pseudo_likelihood
+    docs = documents(spark).select("doc_id", "text").where("length(text) < 900").orderBy("doc_id").limit(12).cache()
+    vocab = p.vocabulary(documents(spark).select("text"))
+    flat = p.train(docs, vocab)
+    net = {k: v.astype(float) for k, v in p.opened(flat).items()}
+    counts = Counter(w for r in documents(spark).collect() for w in p.tokens(r["text"]))
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for r in p.score(docs, vocab, flat).collect():
+        own = p.tokens(docs.where(F.col("doc_id") == r["doc_id"]).first()["text"])
+        ids, total = [vocab[w] for w in own], 0.0
+        for k, w in enumerate(own):
+            sides = [ids[j] if 0 <= j < len(ids) else p.PAD for j in (*range(k - p.SIDE, k), *range(k + 1, k + p.SIDE + 1))]
+            h = np.maximum(np.concatenate([net["embedding"][j] for j in sides]) @ net["inner"] + net["inner_bias"], 0)
+            c, place = divmod(ids[k], p.VOCABULARY // p.CLASSES)
+            total += np.log(softmax(h @ net["class"] + net["class_bias"])[c]) + np.log(softmax(h @ net["word"][c] + net["word_bias"][c])[place])
+            if vocab.shared[ids[k]]:
+                total += np.log(counts[w] + p.SMOOTH) - vocab.totals[ids[k]]
+        assert r["n_tokens"] == len(own) and abs(r["log_likelihood"] - total) < 1e-3 * max(1, abs(total))
+
+
 @pytest.mark.parametrize("common", [0, 700])
 def test_pseudo_likelihood_of_words_in_buckets(spark, monkeypatch, common):
     p = pseudo_likelihood
