@@ -44,6 +44,16 @@ LONG = 1 << 26
 _OFTEN = 3
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -75,7 +85,8 @@ class UnitEncoder:
         self._tokenizer.no_padding()
         self._spaces, self._limit, self.size = spaces, limit, self._tokenizer.get_vocab_size()
         names = self._tokenizer.get_vocab()
-        # ASCII letters are one word for every pre-tokenizer, so the vocabulary's model takes them without it.
+        # Letters are one word for every pre-tokenizer, so the vocabulary's model takes them without it; letters beyond ASCII only if nothing normalizes them.
+        self._bytes = spaces and self._tokenizer.normalizer is None
         self._letters = Tokenizer(self._tokenizer.model)
         self._letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self._letters.model._resize_cache(0)  # each new word comes once
@@ -107,10 +118,11 @@ class UnitEncoder:
         self._ids, self._start, self._count, self._seen = ids, ends - counts, counts, np.zeros(len(keep), np.int64)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of words of ASCII letters, each after a blank."""
+        """Ids and counts of words of letters, each after a blank."""
         flat, counts = [], []
         mark = "\u0120" if self._spaces else ""
-        texts = [mark + f" {mark}".join(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        texts = [mark + f" {mark}".join(spelled[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
         for k, e in enumerate(self._letters.encode_batch_fast(texts if self._spaces else [*map(str.lower, texts)], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             if self._spaces:
@@ -184,7 +196,7 @@ class UnitEncoder:
         joined: list[tuple[int, int, int]] = []
         first = len(index) - len(index.new)
         for k, key in enumerate(index.new, first):  # grows by the parts of units
-            if key.isascii() and key.isalpha():
+            if key.isalpha() and (self._bytes or key.isascii()):
                 plain_at.append(k)
                 plain.append(key)
                 continue
