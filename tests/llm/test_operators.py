@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -25,8 +26,13 @@ def texts(spark):
     return {r["doc_id"]: r["text"] for r in documents(spark).collect()}
 
 
+@lru_cache
+def direct(name):
+    return Tokenizer.from_file(tokens.vocabulary_path(name))
+
+
 def encoded(name, text, end):
-    return np.array(Tokenizer.from_file(tokens.vocabulary_path(name)).encode(text, add_special_tokens=False).ids + [end], "<u4")
+    return np.array(direct(name).encode(text, add_special_tokens=False).ids + [end], "<u4")
 
 
 @pytest.mark.parametrize("name,spaces", [(tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)])
