@@ -91,9 +91,12 @@ def containing(documents: DataFrame, strings: DataFrame, key: str, text: str, gr
 
 
 def placed(df: DataFrame, *order: str) -> DataFrame:
-    """`df` with `place`, from 1, in the order of columns: sorted by ranges of them, so no task holds more than its range."""
+    """`df` with `place`, from 1, in the order of columns: sorted by ranges of them, so no task holds more than its range.
+
+    `df` is kept, as the ranges are found by a look at it before it is sorted.
+    """
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), inside.alias("_at")).persist()
+    rows = df.persist().repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), inside.alias("_at")).persist()
     sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))  # a row a range
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
