@@ -73,9 +73,8 @@ def take_turn(name: str, clear: Callable[[], None]) -> None:
     global _turn
     _caches[name] = clear
     if _turn != name:
-        for other, empty in _caches.items():
-            if other != name:
-                empty()
+        for other in [x for x in _caches if x != name]:
+            _caches.pop(other)()
         _turn = name
         gc.collect()
         pa.default_memory_pool().release_unused()

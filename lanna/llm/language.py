@@ -164,17 +164,17 @@ class _Predictor:
     """Predicts lists of texts; words' rows are kept from one list to the next."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, _Rows(model)
+        self.model, self.rows = model, None
         self.langs = np.array(model.langs + [UNKNOWN])
 
     def _forget(self) -> None:
-        self.rows = _Rows(self.model)
+        self.rows = None
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         model = self.model
         take_turn("language", self._forget)
-        if len(self.rows) > len(model.words) + CACHE:
-            self._forget()
+        if self.rows is None or len(self.rows) > len(model.words) + CACHE:
+            self.rows = _Rows(model)
         score, best, found = np.zeros(len(texts)), np.full(len(texts), len(model.langs)), []
         for text in texts:
             words = _WORD.findall(text.lower())
