@@ -2,7 +2,8 @@
 
 A text becomes a template: words in lower case without the signs around them,
 numbers as <num>, units after numbers as <unit>, runs of capitalised words of a
-sentence as <name>, also where they begin it.  Windows of WINDOW template tokens, at least LITERAL of them
+sentence as <name>, also where they begin it; an item is read once more without names, so that
+copies of it in lower case or in capitals are found.  Windows of WINDOW template tokens, at least LITERAL of them
 words, are hashed and joined with the benchmark's; an item too short for that is
 one window of its whole wording.  Matches of a document and an item are put on
 diagonals (place in the document less place in the item).  On a diagonal the slots
@@ -93,7 +94,7 @@ class Templates:
     def forget(cls) -> None:
         cls._words = _Words()
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], names: bool = True):
         take_turn("decontamination", Templates.forget)
         if len(self._words) > _WORDS_KEPT:
             Templates._words = _Words()
@@ -111,7 +112,8 @@ class Templates:
         kind = known["kind"].astype(np.int64)
         before = np.r_[SIGN, kind[:-1]] if len(kind) else kind
         kind[(kind == UNIT) & ((before != NUMBER) | first)] = WORD
-        kind[(kind == WORD) & known["capital"]] = NAME
+        if names:
+            kind[(kind == WORD) & known["capital"]] = NAME
         keep = kind != SIGN
         keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[1:])
         self.source = np.flatnonzero(keep)
@@ -151,7 +153,7 @@ class Templates:
         return out
 
 
-ITEMS = "item_id long, hash long, item_at int, item_slots array<string>, windows int, length int"
+ITEMS = "item_id long, reading int, hash long, item_at int, item_slots array<string>, windows int, length int"
 HITS = "doc_id long, text_md5 binary, hash long, at int, slots array<string>"
 
 
@@ -161,13 +163,16 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
             t = Templates([text])
             at, h = t.windows()
-            length = WINDOW
-            if not len(at) and len(t.hash):
-                length = len(t.hash)
-                at, h = t.short(length)
-            rows += [(item, x, p, t.slots(p, length), len(at), length if length != WINDOW or not len(t.windows()[0]) else 0) for p, x in zip(at.tolist(), h.view(np.int64).tolist())]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["item_id", "hash", "item_at", "item_slots", "windows", "length"])
+            if not len(at) and len(t.hash):  # too short for a window: the whole wording is one
+                n = len(t.hash)
+                at, h = t.short(n)
+                rows += [(item, 0, x, p, t.slots(p, n), len(at), n) for p, x in zip(at.tolist(), h.view(np.int64).tolist())]
+                continue
+            for reading, own in enumerate((t, Templates([text], False)) if (t.kind == NAME).any() else (t,)):
+                at, h = own.windows()
+                rows += [(item, reading, x, p, own.slots(p, WINDOW), len(at), 0) for p, x in zip(at.tolist(), h.view(np.int64).tolist())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 7, kinds)], [x.split()[0] for x in ITEMS.split(", ")])
 
 
 def _hits(batches: Iterator[pa.RecordBatch], wanted, lengths: list[int]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +214,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float =
     hits = texts.mapInArrow(partial(_hits, wanted=wanted, lengths=lengths), HITS)
 
     pairs = hits.join(items, "hash").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).select("doc_id", "text_md5", "item_id", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slot")
-    lines = pairs.groupBy("doc_id", "text_md5", "item_id", "windows", "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slots"))  # as long as the item at most
+    pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).select("doc_id", "text_md5", "item_id", "reading", "windows", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slot")
+    lines = pairs.groupBy("doc_id", "text_md5", "item_id", "reading", "windows", "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slots"))  # as long as the item at most
     theirs = F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"])))
     lines = lines.where(theirs == F.size("slots")).withColumn("exact", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
-    found = lines.groupBy("doc_id", "text_md5", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"), F.max("exact").alias("exact"))
-    share = F.col("n_windows") / F.col("windows")
-    return found.where(share >= coverage).select("doc_id", "text_md5", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.round(share, 6).alias("coverage"), "exact")
+    found = lines.groupBy("doc_id", "text_md5", "item_id", "reading", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max("exact").alias("exact"))
+    found = found.withColumn("coverage", F.round(F.col("n_windows") / F.col("windows"), 6)).where(F.col("n_windows") / F.col("windows") >= coverage)
+    best = found.groupBy("doc_id", "text_md5", "item_id").agg(F.max(F.struct("coverage", "n_windows")).alias("x"), F.max("exact").alias("exact"))  # of the readings
+    return best.select("doc_id", "text_md5", "item_id", "x.n_windows", "x.coverage", "exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_most: int = FILTER_MOST) -> DataFrame:

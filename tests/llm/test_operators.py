@@ -87,7 +87,7 @@ def test_names_that_begin_sentences(spark):
     assert {1, 3} <= set(got) and got[3]["exact"] and not got[1]["exact"] and got[1]["coverage"] > 0.9 and (2 not in got or got[2]["coverage"] < got[1]["coverage"])
 
 
-def plain_templates(t):
+def plain_templates(t, names=True):
     """Template tokens of a text and what stands in each."""
     out, raw = [], (t or "").split()
     first, kinds = True, []
@@ -95,7 +95,7 @@ def plain_templates(t):
         bare = re.sub(r"^[\W_]+|[\W_]+$", "", w)
         number = bool(re.fullmatch(r"[$€£+-]?[0-9][0-9.,:/]*(?:%|[A-Za-zµ°]{1,3})?", w.strip(".,;:!?()[]\"'")) or bare.isdigit())
         capital = bare[:1].isupper() and not bare[1:].isupper()
-        kind = "" if not bare else "num" if number else "unit" if bare.lower() in decontamination.UNITS and kinds and kinds[-1] == "num" and not first else "name" if capital else "word"
+        kind = "" if not bare else "num" if number else "unit" if bare.lower() in decontamination.UNITS and kinds and kinds[-1] == "num" and not first else "name" if capital and names else "word"
         if kind == "name" and kinds and kinds[-1] == "name" and not first:
             out[-1] = ("name", out[-1][1] + " " + bare.lower())
         elif kind:
@@ -108,27 +108,27 @@ def plain_templates(t):
 def plain_template_matches(docs, items):
     w, found = decontamination.WINDOW, {}
 
-    def windows(t):
-        own = plain_templates(t)
+    def windows(t, names=True):
+        own = plain_templates(t, names)
         for k in range(len(own) - w + 1):
             part = own[k : k + w]
             if sum(x == "word" for x, _ in part) >= decontamination.LITERAL:
                 yield k, tuple(v if x == "word" else "<" + x for x, v in part), [v for x, v in part if x != "word"]
 
     for i, q in items:
-        theirs = [*windows(q)]
-        for d, t in docs:
-            lines = {}
-            for k, form, slots in windows(t):
-                for at, other, values in theirs:
-                    if form == other:
-                        places, pairs = lines.setdefault(k - at, (set(), set()))
-                        places.add(at)
-                        pairs.update(zip(values, slots))
-            good = [places for places, pairs in lines.values() if len({a for a, _ in pairs}) == len(pairs)]
-            n = len(set().union(*good)) if good else 0
-            if theirs and n / len(theirs) >= decontamination.COVERAGE:
-                found[d, i] = n
+        for theirs in ([*windows(q)], [*windows(q, False)]):
+            for d, t in docs:
+                lines = {}
+                for k, form, slots in windows(t):
+                    for at, other, values in theirs:
+                        if form == other:
+                            places, pairs = lines.setdefault(k - at, (set(), set()))
+                            places.add(at)
+                            pairs.update(zip(values, slots))
+                good = [places for places, pairs in lines.values() if len({a for a, _ in pairs}) == len(pairs)]
+                n = len(set().union(*good)) if good else 0
+                if theirs and n / len(theirs) >= decontamination.COVERAGE:
+                    found[d, i] = max(found.get((d, i), (0, 0)), (round(n / len(theirs), 6), n))
     return found
 
 
@@ -146,8 +146,10 @@ def test_templates_by_brute_force(spark):
     ]
     items = [(k, question(rng.choice(forms))) for k in range(12)]
     docs = [(k, rng.choice(["", "Well. ", "so it is said that "]) + question(rng.choice(forms)) + rng.choice(["", " And more text follows here.", " " + question(rng.choice(forms))])) for k in range(60)]
+    docs += [(100 + k, q.lower() if k % 2 else q.upper()) for k, q in items]
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]): r["n_windows"] for r in got} == plain_template_matches(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_windows"]) for r in got} == plain_template_matches(docs, items)
+    assert {(100 + k, k) for k, _ in items} <= {(r["doc_id"], r["item_id"]) for r in got}
 
 
 def test_decontamination_of_rows_without_ids(spark):
