@@ -55,11 +55,11 @@ def forget(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, codec: str = "zstd", per_file: int = 0) -> DataFrame:
+    """`df` written as Parquet to the shared folder, at most `per_file` rows in a file, and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", per_file).parquet(path)
     forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

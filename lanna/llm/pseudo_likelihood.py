@@ -11,6 +11,9 @@ the corpus, smoothed by SMOOTH; the shares of the COMMON next words are looked u
 tasks, those of all others come from a join with the word counts.  A document's score
 is the sum of the conditional log-probabilities of all its tokens.
 
+Texts are cut into tokens once, into blocks: some documents' tokens as numbers of the block's
+own list of words.  Counting, training and scoring read blocks and look up each word once a block.
+
 Training is data-parallel: each round, every shard of the documents, all of which are
 used, trains a copy of the network, and Spark averages the copies, weighed by tokens.
 Documents are dealt to shards by a hash of text and id, and sorted by it, and the number of
@@ -29,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ BATCH = 512
 RATE = 0.15
 FLUSH = 200_000
 COMMON = 20_000
+#: Batches that are laid out together, and blocks in a file (Spark's reader may hold a file's blocks at once).
+STEPS, BLOCKS = 64, 16
 PARTS, GROUP = 16, 64
 #: A shard has about so many tokens.
 SHARD_TOKENS = 4_000_000
@@ -65,6 +71,84 @@ def suffix(word: str) -> int:
     return zlib.crc32(f"{min(len(word), 12)}:{word[-2:]}".encode("utf-8", "surrogatepass")) % SUFFIXES
 
 
+_NONE, _WORD, _SIGN, _REST, _NEW = range(5)  # a byte is of no token, of a word, a sign's first, a sign's further one; not looked up yet
+
+
+def _kind(char: str) -> int:
+    return _NONE if char.isspace() else _WORD if char.isalnum() else _SIGN
+
+
+_ASCII = bytes(_kind(chr(k)) if k < 128 else _NONE for k in range(256))
+_KINDS = np.full(0x110000, _NEW, np.uint8)
+
+
+def _kinds(joined: bytes) -> np.ndarray:
+    """The kind of every byte."""
+    kinds, raw = np.frombuffer(bytearray(joined).translate(_ASCII), np.uint8), np.frombuffer(joined, np.uint8)
+    at = np.flatnonzero(raw >= 0xC0)
+    if len(at):
+        first = raw[at].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        further = [np.flatnonzero(size > k) for k in range(1, 4)]
+        code = first & (0x7F >> size)
+        for k, own in enumerate(further, 1):
+            code[own] = code[own] << 6 | raw[at[own] + k] & 0x3F
+        found = _KINDS[code]
+        for k in np.unique(code[found == _NEW]).tolist():
+            _KINDS[k] = _kind(chr(k))
+        kinds[at] = found = _KINDS[code]
+        found = np.where(found == _SIGN, np.uint8(_REST), found)
+        for k, own in enumerate(further, 1):
+            kinds[at[own] + k] = found[own]
+    return kinds
+
+
+def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many tokens each text has, the tokens of all as numbers of words, and the words: `tokens` for many texts at once."""
+    lines = [t.lower().encode() for t in texts]
+    joined = b"\n".join(lines)  # a token never goes beyond a line
+    kinds = _kinds(joined)
+    begins = kinds == _WORD
+    begins[1:] &= kinds[:-1] != _WORD
+    begins |= kinds == _SIGN
+    kept = kinds != _NONE
+    offsets = np.append(np.flatnonzero(begins[kept]), np.count_nonzero(kept))
+    every = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.frombuffer(joined, np.uint8)[kept])).dictionary_encode()
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    sizes = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+    return sizes, every.indices.to_numpy(), every.dictionary
+
+
+_BLOCK = {"words": pa.string(), "counts": pa.binary(), "numbers": pa.binary(), "sizes": pa.binary(), "keys": pa.binary(), "doc_ids": pa.list_(pa.int64())}
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, keys = texts_of(batch), batch.column("key").to_numpy()
+        for a, b in slices(batch, [*map(len, texts)]):
+            sizes, numbers, words = cut(texts[a:b])
+            counts = np.bincount(numbers, minlength=len(words))
+            row = ["\n".join(words.to_pylist()), counts.astype(np.int64).tobytes(), numbers.astype(np.uint16 if len(words) <= 1 << 16 else np.int32).tobytes(), sizes.astype(np.int64).tobytes(), keys[a:b].tobytes(), batch.column("doc_id")[a:b].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _BLOCK.values())], [*_BLOCK])
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """The documents' tokens, a row for about two million characters: different words, how often each occurs, and by document the tokens
+    as numbers of words, how many these are, a hash of text and id, and the id."""
+    keyed = docs.select("text", F.xxhash64("text", *[c for c in docs.columns if c == "doc_id"]).alias("key"), F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id"))
+    return written(keyed.mapInArrow(_cut, "words string, counts binary, numbers binary, sizes binary, keys binary, doc_ids array<long>"), per_file=BLOCKS)
+
+
+def _opened_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Of every block its words, their numbers by token, the tokens by document, and its row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            words, raw, sizes = (row.column(c)[0].as_py() for c in ("words", "numbers", "sizes"))
+            sizes = np.frombuffer(sizes, np.int64)
+            yield words.split("\n") if words else [], np.frombuffer(raw, np.int32 if len(raw) == 4 * sizes.sum() else np.uint16), sizes, row
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
@@ -74,8 +158,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in texts_of(batch):
-            seen.update(tokens(text))
+        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
+            for word, n in zip(words.split("\n") if words else (), np.frombuffer(counts, np.int64).tolist()):
+                seen[word] += n
             if len(seen) > FLUSH:
                 yield out()
     yield out()
@@ -91,25 +176,32 @@ class Vocabulary(dict):
     def __init__(self, words: dict[str, int], buckets: list[int], common: dict[str, float], totals: np.ndarray, counts: DataFrame | None = None, size: int = 0):
         super().__init__(words)
         self.size = size  # tokens of the corpus
-        self.fixed, self.buckets, self.common, self.totals, self.counts = len(words), buckets, common, totals, counts
+        self.buckets, self.common, self.totals, self.counts, self.endings = buckets, common, totals, counts, {}
         self.shared = np.zeros(VOCABULARY, bool)
         self.shared[buckets] = True
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.fixed + FLUSH:
-            for w in [*self][self.fixed :]:
-                del self[w]
-        n = self[word] = self.buckets[suffix(word)]
-        return n
+        return self.buckets[suffix(word)]
 
     def __reduce__(self):
-        return Vocabulary, (dict([*self.items()][: self.fixed]), self.buckets, self.common, self.totals)
-
-    def within(self, own: list[str], ids: np.ndarray) -> tuple[float, list[str]]:
-        """Sum of the log shares of a text's words in their buckets, but for the log counts of the words that are returned."""
-        words = [own[k] for k in np.flatnonzero(self.shared[ids]).tolist()]
-        found = [*map(self.common.get, words)]
-        return sum(x for x in found if x is not None) - self.totals[ids].sum(), [w for w, x in zip(words, found) if x is None]
+        return Vocabulary, (dict(self), self.buckets, self.common, self.totals)
+
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word its id, the log of its share of its bucket (0 where the id is its own), and whether the share still lacks the word's log count."""
+        ids = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        others = np.flatnonzero(ids < 0)
+        some = [words[k] for k in others.tolist()]
+        endings = [(len(w) if len(w) < 12 else 12, w[-2:]) for w in some]  # all that `suffix` reads
+        if len(self.endings) > FLUSH:
+            self.endings.clear()
+        for word, ending in zip(some, endings):
+            if ending not in self.endings:
+                self.endings[ending] = self[word]
+        ids[others] = [*map(self.endings.__getitem__, endings)]
+        shared = self.shared[ids]
+        logs = np.array([*map(self.common.get, words)], float)  # None becomes nan
+        rare = shared & np.isnan(logs)
+        return ids, np.where(shared & ~rare, logs, 0) - self.totals[ids], rare
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[pa.RecordBatch]:
@@ -123,8 +215,12 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch], known: frozenset) -> Itera
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
+    return _vocabulary(blocks(docs))
+
+
+def _vocabulary(cut_docs: DataFrame) -> Vocabulary:
     """From the counts of all words: the most frequent ones and the buckets, numbered by falling frequency."""
-    counts = written(docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(cut_docs.select("words", "counts").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SUFFIXES + COMMON).collect()
     known = {r["word"]: r["n"] for r in top[: VOCABULARY - SUFFIXES]}
     common = {r["word"]: float(np.log(r["n"] + SMOOTH)) for r in top[VOCABULARY - SUFFIXES :]}
@@ -164,85 +260,155 @@ def opened(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {name: flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), _CUTS, _CUTS[1:])}
 
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of some texts and the ids around each, padded at the texts' ends."""
-    gap = np.full(SIDE, PAD, np.int32)
-    flat = np.concatenate([gap, *(x for own in ids for x in (own, gap))])
-    at = np.flatnonzero(flat != PAD)
-    return flat[at], np.stack([flat[at + k] for k in _SHIFTS], axis=1)
+def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of some texts' token ids the ids around each, padded at the texts' ends."""
+    at = np.arange(SIDE, SIDE + len(ids)) + np.repeat(np.arange(len(sizes)) * SIDE, sizes)
+    flat = np.full(len(ids) + SIDE * (len(sizes) + 1), PAD, np.int32)
+    flat[at] = ids
+    return np.stack([flat[at + k] for k in _SHIFTS], axis=1)
 
 
 def _forward(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["embedding"][around].reshape(len(around), -1)
-    return x, np.maximum(x @ net["inner"] + net["inner_bias"], 0)
+    x = net["embedding"].take(around, axis=0).reshape(len(around), -1)
+    h = x @ net["inner"]
+    h += net["inner_bias"]
+    return x, np.maximum(h, 0, out=h)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """`z`, its rows shifted to a maximum of 0 where numbers are large, so that sums of exponentials are finite and not 0."""
+    if not (z.max() < 40 and z.min() > -40):
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
+def _sums(e: np.ndarray) -> np.ndarray:
+    return e @ np.ones(e.shape[1], e.dtype)
+
+
 _PER = VOCABULARY // CLASSES
 
 
+_CHUNK = 1024
+
+
 def log_probabilities(net: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of every token, given those around it."""
-    _, h = _forward(net, around)
     out = np.empty(len(target), np.float64)
-    group, within = target // _PER, target % _PER
-    z = _log_softmax(h @ net["class"] + net["class_bias"])
-    out[:] = z[np.arange(len(target)), group]
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
-            z = _log_softmax(h[own] @ net["word"][c] + net["word_bias"][c])
-            out[own] += z[np.arange(len(own)), within[own]]
+    order = np.argsort((target // _PER).astype(np.uint8), kind="stable")  # tokens of a class stand together
+    for k in range(0, len(order), _CHUNK):
+        own = order[k : k + _CHUNK]
+        group, within = np.divmod(target[own], _PER)
+        each = np.arange(len(own))
+        _, h = _forward(net, around[own])
+        ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        z = np.empty((len(own), _PER), h.dtype)
+        for c in range(group[0], group[-1] + 1):
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                np.matmul(h[i:j], net["word"][c], out=z[i:j])
+                z[i:j] += net["word_bias"][c]
+        y = h @ net["class"]
+        y += net["class_bias"]
+        logs = _bounded(y)[each, group] + _bounded(z)[each, within]
+        out[own] = logs - np.log(_sums(np.exp(y, out=y))) - np.log(_sums(np.exp(z, out=z)))
     return out
 
 
+_PAIRS = np.arange((VOCABULARY + 1) * (WIDTH // 2)).reshape(VOCABULARY + 1, -1)
+
+
+def descend(net: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray, rate: float, order: np.ndarray, size: int = BATCH) -> None:
+    """Gradient descent on the mean log-loss of batches of `size` tokens, taken in some order, one after another.
+
+    Within a batch, rows of a class stand together.  Classes with at most `most` rows are multiplied at once, each filled up
+    to `most` rows with zeros, the others one by one.
+    """
+    n, n_batches = len(order), -(-len(order) // size)
+    target = target.take(order)
+    key = target // _PER + np.repeat(np.arange(n_batches, dtype=target.dtype) * CLASSES, size)[:n]
+    own = np.argsort(key.astype(np.uint16) if n_batches <= STEPS else key, kind="stable")
+    target, around, counts = target.take(own), around.take(order.take(own), axis=0), np.bincount(key, minlength=n_batches * CLASSES)
+    group, within = target // _PER, target % _PER
+    most = max(1, size * 5 // 4 // CLASSES)
+    # Where each class's rows begin in order, in the batch, and in the filled-up classes; those of a class that doesn't fit are elsewhere.
+    begins = np.cumsum(counts) - counts
+    in_batch = begins - np.repeat(np.arange(n_batches) * size, CLASSES)
+    places = np.arange(most)
+    of_batch = np.minimum(size, n - np.arange(n_batches) * size).repeat(CLASSES)[:, None]  # a row of zeros follows a batch's tokens
+    filled = np.where(places < np.where(counts <= most, counts, 0)[:, None], in_batch[:, None] + places, of_batch).reshape(n_batches, -1)
+    slot = np.arange(n) + np.repeat(np.tile(np.arange(CLASSES) * most, n_batches) - begins, counts)  # of rows that don't fit, anything
+    room = _room(min(size, n), most, net["inner"].dtype)
+    for b, (own, first) in enumerate(zip(counts.reshape(n_batches, CLASSES), in_batch.reshape(n_batches, CLASSES))):
+        rows = slice(b * size, min(n, (b + 1) * size))
+        _step(net, room, group[rows], within[rows], around[rows], rate, slot[rows], filled[b], [(c, first[c], first[c] + own[c]) for c in np.flatnonzero(own > most).tolist()])
+
+
 def train_step(net: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a batch's mean log-loss."""
-    n = len(target)
-    order = np.argsort(target // _PER, kind="stable")  # rows of a class stand together
-    target, around = target[order], around[order]
-    x, h = _forward(net, around)
-    group, within, each = target // _PER, target % _PER, np.arange(n)
-    p = np.exp(_log_softmax(h @ net["class"] + net["class_bias"]))
-    p[each, group] -= 1
-    back = p @ net["class"].T
-    class_step, class_bias_step = h.T @ p, p.sum(axis=0)
-    ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-    runs = [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
-    q = net["word_bias"][group]
+    descend(net, target, around, rate, np.arange(len(target)), len(target))
+
+
+def _room(n: int, most: int, kind: np.dtype) -> dict[str, np.ndarray]:
+    """Arrays that the steps on batches of up to `n` tokens write to; new ones for each step cost more than some of the products."""
+    shapes = {"x": (n, 2 * SIDE, WIDTH), "h": (n + 1, HIDDEN), "z": (2 * n + 1, _PER), "back": (n, HIDDEN), "more": (n, HIDDEN), "to_x": (n, 2 * SIDE * WIDTH)}
+    shapes |= {"tiles": (CLASSES, most, HIDDEN), "of_tiles": (CLASSES, most, _PER), "product": (CLASSES, most, _PER), "returned": (CLASSES, most, HIDDEN), "steps": (CLASSES, HIDDEN, _PER)}
+    return {k: np.empty(x, kind) for k, x in shapes.items()} | {"pairs": np.empty((n, 2 * SIDE, WIDTH // 2), np.int64), "ones": np.ones(n, kind)}
+
+
+def _step(net: dict[str, np.ndarray], room: dict[str, np.ndarray], group: np.ndarray, within: np.ndarray, around: np.ndarray, rate: float, slot: np.ndarray, filled: np.ndarray, runs: list[tuple[int, int, int]]) -> None:
+    """A step on rows that `descend` has laid out; gradients carry the rate from the softmaxes on."""
+    n, kind = len(group), net["inner"].dtype
+    scale, word, ones = kind.type(rate / n), net["word"], room["ones"][:n]
+    x = net["embedding"].take(around, axis=0, out=room["x"][:n], mode="clip").reshape(n, -1)
+    padded, z = room["h"][: n + 1], room["z"][: 2 * n + 1]
+    padded[n], z[2 * n] = 0, 0
+    h, p, q = padded[:n], z[:n], z[n : 2 * n]
+    np.matmul(x, net["inner"], out=h)
+    h += net["inner_bias"]
+    np.maximum(h, 0, out=h)
+    np.matmul(h, net["class"], out=p)
+    p += net["class_bias"]
+    tiles, of_tiles, flat = room["tiles"], room["of_tiles"], len(filled)
+    padded.take(filled, axis=0, out=tiles.reshape(flat, -1), mode="clip")
+    np.matmul(tiles, word, out=room["product"]).reshape(flat, -1).take(slot, axis=0, out=q, mode="clip")
     for c, i, j in runs:
-        q[i:j] += h[i:j] @ net["word"][c]
-    q = np.exp(_log_softmax(q))
-    q[each, within] -= 1
+        np.matmul(h[i:j], word[c], out=q[i:j])
+    q += net["word_bias"].take(group, axis=0)
+    # Both softmaxes at once, less 1 at what is there.
+    both = z[: 2 * n]
+    np.exp(_bounded(both), out=both)
+    both *= (scale / _sums(both))[:, None]
+    both.reshape(-1)[np.arange(0, both.size, _PER) + np.concatenate([group, within])] -= scale
+    z[n:].take(filled, axis=0, out=of_tiles.reshape(flat, -1), mode="clip")
+    back, more, steps = np.matmul(p, net["class"].T, out=room["back"][:n]), room["more"][:n], room["steps"]
+    np.matmul(of_tiles, word.transpose(0, 2, 1), out=room["returned"]).reshape(flat, -1).take(slot, axis=0, out=more, mode="clip")
+    np.matmul(tiles.transpose(0, 2, 1), of_tiles, out=steps)
+    bias_steps = of_tiles.sum(axis=1)
     for c, i, j in runs:
-        back[i:j] += q[i:j] @ net["word"][c].T
-        net["word"][c] -= rate / n * (h[i:j].T @ q[i:j])
-    net["word_bias"][[c for c, _, _ in runs]] -= rate / n * np.add.reduceat(q, [i for _, i, _ in runs])
-    back *= h > 0
-    to_x = back @ net["inner"].T
-    net["class"] -= rate / n * class_step
-    net["class_bias"] -= rate / n * class_bias_step
-    net["inner"] -= rate / n * (x.T @ back)
-    net["inner_bias"] -= rate / n * back.sum(axis=0)
-    places = (around.astype(np.int64)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-    net["embedding"] -= (rate / n * np.bincount(places, to_x.ravel(), net["embedding"].size).reshape(-1, WIDTH)).astype(net["embedding"].dtype)
+        np.matmul(q[i:j], word[c].T, out=more[i:j])
+        np.matmul(h[i:j].T, q[i:j], out=steps[c])
+        np.matmul(ones[i:j], q[i:j], out=bias_steps[c])
+    word -= steps
+    net["word_bias"] -= bias_steps
+    back += more
+    back *= np.sign(h, out=more)
+    to_x = np.matmul(back, net["inner"].T, out=room["to_x"][:n])
+    net["class"] -= h.T @ p
+    net["class_bias"] -= ones @ p
+    net["inner"] -= x.T @ back
+    net["inner_bias"] -= ones @ back
+    pair = np.result_type(kind, np.complex64)  # two numbers are subtracted at once
+    np.subtract.at(net["embedding"].reshape(-1).view(pair), _PAIRS.take(around, axis=0, out=room["pairs"][:n], mode="clip").reshape(-1), to_x.reshape(-1).view(pair))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
     """The ids of each text, two bytes a token, and its key."""
-    find = vocab.value.__getitem__
-    for batch in batches:
-        texts = texts_of(batch)
-        for a, b in slices(batch, [*map(len, texts)]):
-            ids = [np.fromiter(map(find, t), np.int16, len(t)).tobytes() for t in map(tokens, texts[a:b])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("key")[a:b]], ["ids", "key"])
+    for words, numbers, sizes, row in _opened_blocks(batches):
+        ids = vocab.value.looked_up(words)[0].astype(np.int16)[numbers]
+        ends = np.cumsum(sizes * 2, dtype=np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(ids)])
+        yield pa.RecordBatch.from_arrays([raw.cast(pa.binary()), pa.array(np.frombuffer(row.column("keys")[0].as_py(), np.int64))], ["ids", "key"])
 
 
 def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.RecordBatch]:
@@ -252,11 +418,11 @@ def _train(batches: Iterator[pa.RecordBatch], now, seed: int) -> Iterator[pa.Rec
     for batch in batches:
         raw = batch.column("ids").to_pylist()
         for a, b in slices(batch, [*map(len, raw)], 200_000):
-            target, around = contexts([np.frombuffer(x, np.int16).astype(np.int32) for x in raw[a:b]])
+            target = np.frombuffer(b"".join(raw[a:b]), np.int16).astype(np.int32)
+            around = contexts(target, np.array([len(x) // 2 for x in raw[a:b]]))
             order = rng.permutation(len(target))
-            for k in range(0, len(order), BATCH):
-                own = order[k : k + BATCH]
-                train_step(net, target[own], around[own], RATE * BATCH ** 0.5 / 4)
+            for k in range(0, len(order), STEPS * BATCH):
+                descend(net, target, around, RATE * BATCH ** 0.5 / 4, order[k : k + STEPS * BATCH])
             seen += len(target)
     if seen:
         parts = np.array_split(flat, PARTS)
@@ -276,12 +442,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUNDS) -> np.ndarray:
     """The network after some rounds of averaging; trained on one document in `share`, or on all if these have no tokens."""
-    spark = docs.sparkSession
-    shared, now = spark.sparkContext.broadcast(vocab), start()
     part = docs if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    keyed = part.select("text", F.xxhash64("text", *[c for c in part.columns if c == "doc_id"]).alias("key"))
-    encoded = written(keyed.mapInArrow(partial(_encode, vocab=shared), "ids binary, key long"))  # once for all rounds
-    shards = max(1, -(-vocab.size // (share * SHARD_TOKENS)))
+    network = _trained(blocks(part), vocab, max(1, -(-vocab.size // (share * SHARD_TOKENS))), rounds)
+    return train(docs, vocab, 1, rounds) if network is None and share > 1 else start() if network is None else network
+
+
+def _trained(cut_docs: DataFrame, vocab: Vocabulary, shards: int, rounds: int = ROUNDS) -> np.ndarray | None:
+    """The network after some rounds of averaging, or none without tokens."""
+    spark = cut_docs.sparkSession
+    shared, now = spark.sparkContext.broadcast(vocab), start()
+    encoded = cut_docs.select("words", "numbers", "sizes", "keys").mapInArrow(partial(_encode, vocab=shared), "ids binary, key long")
     encoded = encoded.repartition(shards, "key").sortWithinPartitions("key").select("ids")
     for k in range(rounds):
         copies = encoded.mapInArrow(partial(_train, now=spark.sparkContext.broadcast(now), seed=k), "part int, tokens long, network binary")
@@ -289,31 +459,33 @@ def train(docs: DataFrame, vocab: Vocabulary, share: int = 1, rounds: int = ROUN
         groups = copies.withColumn("g", F.floor(F.spark_partition_id() / GROUP)).repartition("g", "part").select("part", "tokens", "network").mapInArrow(_add, "part int, tokens long, total binary").collect()
         weight = sum(r["tokens"] for r in groups if r["part"] == 0)
         if not weight:
-            return now if share == 1 else train(docs, vocab, 1, rounds)
+            return None
         now = np.concatenate([sum(np.frombuffer(r["total"], np.float64) for r in groups if r["part"] == p) / weight for p in range(PARTS)]).astype(np.float32)
     return now
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocab, now) -> Iterator[pa.RecordBatch]:
-    net, known = opened(now.value), vocab.value
-    find = known.__getitem__
-    for batch in batches:
-        texts = texts_of(batch)
-        for a, b in slices(batch, [*map(len, texts)], 200_000):
-            found = [*map(tokens, texts[a:b])]
-            ids = [np.fromiter(map(find, t), np.int32, len(t)) for t in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            target, around = contexts(ids)
-            logs = np.concatenate([log_probabilities(net, target[k : k + 8192], around[k : k + 8192]) for k in range(0, len(target), 8192)]) if len(target) else np.zeros(0)
-            sums = np.bincount(np.repeat(np.arange(len(ids)), sizes), logs, len(ids))
-            shares, rare = zip(*map(known.within, found, ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(sums + np.array(shares)), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "n_tokens", "log_likelihood", "rare"])
+    net = opened(now.value)
+    for words, numbers, sizes, row in _opened_blocks(batches):
+        of_words, shares, rare = vocab.value.looked_up(words)
+        ids = of_words[numbers]
+        logs = log_probabilities(net, ids, contexts(ids, sizes)) + shares[numbers]
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        lacking = np.flatnonzero(rare[numbers])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(document[lacking], minlength=len(sizes)))), pa.int32()), pa.array(words, pa.string()).take(pa.array(numbers[lacking])))
+        whole = pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.array(sizes), pa.array(np.bincount(document, logs, len(sizes)), pa.float64()), lists], ["doc_id", "n_tokens", "log_likelihood", "rare"])
+        for k in range(0, len(sizes), 1024):
+            yield whole.slice(k, 1024)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, network: np.ndarray) -> DataFrame:
+    return _scored(blocks(docs), vocab, network)
+
+
+def _scored(cut_docs: DataFrame, vocab: Vocabulary, network: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural, summed over all tokens) and its mean a token."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.mapInArrow(partial(_score, vocab=context.broadcast(vocab), now=context.broadcast(network)), "doc_id long, n_tokens long, log_likelihood double, rare array<string>")
+    context = cut_docs.sparkSession.sparkContext
+    rows = cut_docs.select("words", "numbers", "sizes", "doc_ids").mapInArrow(partial(_score, vocab=context.broadcast(vocab), now=context.broadcast(network)), "doc_id long, n_tokens long, log_likelihood double, rare array<string>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))  # doc_ids may be null or repeat
     words = rows.select("row", F.explode("rare").alias("word")).join(vocab.counts, "word", "left")
     logs = words.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("more"))
@@ -325,8 +497,10 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Trains on `docs` and scores every one of them."""
     bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocab = vocabulary(plain.select("text"))
-    return score(plain, vocab, train(plain, vocab))
+    cut_docs = blocks(plain)
+    vocab = _vocabulary(cut_docs)
+    network = _trained(cut_docs, vocab, max(1, -(-vocab.size // SHARD_TOKENS)))
+    return _scored(cut_docs, vocab, start() if network is None else network)
 
 
 def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

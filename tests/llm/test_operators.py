@@ -462,6 +462,50 @@ def test_pseudo_likelihood_of_words_in_buckets(spark, monkeypatch, common):
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_pseudo_likelihood_cuts_many_texts_at_once():
+    p = pseudo_likelihood
+    texts = ["The quick, brown_fox", "", "İstanbul ΑΣ Σ", "ÀB12́ ก็ดี 😀😀 a😀b", "c\x1cd\x85e\u2028f", "\n_\r", "ß𝔘𝟘 ²½Ⅷ", " ", "the the THE"]
+    for own in (texts, texts[::-1], [], [""], *([t] for t in texts)):
+        sizes, numbers, words = p.cut(own)
+        words, want = words.to_pylist(), [p.tokens(t) for t in own]
+        assert sizes.tolist() == [*map(len, want)] and [words[k] for k in numbers] == [w for t in want for w in t] and len({*words}) == len(words)
+
+
+def test_pseudo_likelihood_without_tokens(spark):
+    rows = pseudo_likelihood.pseudo_likelihood(spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, *r[1:]) for r in rows) == [(k, 0, 0.0, None) for k in range(3)]
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_pseudo_likelihood_descends_as_one_batch_after_another(scale):
+    """Classes with many, few and no rows, a last batch that is not full, and numbers whose exponentials overflow."""
+    p = pseudo_likelihood
+    rng = np.random.default_rng(3)
+    per, size, n = p.VOCABULARY // p.CLASSES, 64, 150
+    target = np.where(rng.random(n) < 0.5, rng.integers(0, per, n), rng.integers(0, p.VOCABULARY, n))
+    around, order = rng.integers(0, p.VOCABULARY + 1, (n, 2 * p.SIDE)), rng.permutation(n)
+    got, want = p.start().astype(float) * scale, p.start().astype(float) * scale
+    net = p.opened(want)
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for k in range(0, n, size):
+        own, steps = order[k : k + size], {name: np.zeros(shape) for name, shape in p.SHAPES.items()}
+        for t, ids in zip(target[own], around[own]):
+            c, place = divmod(t, per)
+            x = net["embedding"][ids].ravel()
+            h = np.maximum(x @ net["inner"] + net["inner_bias"], 0)
+            of_class, of_word = softmax(h @ net["class"] + net["class_bias"]), softmax(h @ net["word"][c] + net["word_bias"][c])
+            of_class[c] -= 1
+            of_word[place] -= 1
+            back = (net["class"] @ of_class + net["word"][c] @ of_word) * (h > 0)
+            for name, at, step in (("class", ..., np.outer(h, of_class)), ("class_bias", ..., of_class), ("word", c, np.outer(h, of_word)), ("word_bias", c, of_word), ("inner", ..., np.outer(x, back)), ("inner_bias", ..., back)):
+                steps[name][at] += step
+            np.add.at(steps["embedding"], ids, (net["inner"] @ back).reshape(-1, p.WIDTH))
+        for name, step in steps.items():
+            net[name] -= 0.1 / len(own) * step
+    p.descend(p.opened(got), target, around, 0.1, order, size)
+    assert not np.allclose(got, p.start() * scale) and np.allclose(got, want, rtol=1e-6, atol=1e-8)
+
+
 # -- 6 and 10 ----------------------------------------------------------------
 
 
