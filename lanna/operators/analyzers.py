@@ -28,10 +28,17 @@ def native_terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def cut_portions(batches: Iterator[pa.Array], cut: Callable[[str], list[tuple]]) -> Iterator[pa.Array]:
+    """The tokens of batches of texts, an array for each portion of a batch."""
+    made = lambda texts: filters.token_arrays([cut(t) if t else [] for t in texts])
+    for batch in batches:
+        yield from (filters.once(texts, made) for texts in filters.portions(batch.fill_null("")))
+
+
 class Cutter:
     """A vectorized function from a text column to tokens; the lexicon is broadcast once.  Null text gives an empty array.
 
-    Python steps that follow in a chain run in the same pass.
+    A batch is cut in portions, so a worker's memory doesn't grow with its texts; texts that a portion repeats are cut once.  Python steps that follow in a chain run in the same pass.
     """
 
     def __init__(self, spark: SparkSession, mode: str = "none", lexicon: Lexicon | None = None, utf16: bool = False, steps: filters.Steps | None = None):
@@ -52,8 +59,7 @@ class Cutter:
         @F.arrow_udf(filters.TOKENS)
         def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             words = None if shared is None else shared.value
-            for texts in batches:
-                yield filters.token_arrays([rows(tokens(t, mode, words, utf16)) if t else [] for t in texts.to_pylist()])
+            yield from cut_portions(batches, lambda t: rows(tokens(t, mode, words, utf16)))
 
         return apply(column)
 

@@ -7,7 +7,7 @@ token's place.  Filters are native expressions except where noted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,33 @@ def variants(tokens: Column, make: Callable[[Column], Column], kind: str, keep:
     return F.flatten(F.transform(tokens, one))
 
 
+#: What a Python function holds at once: characters of texts, or tokens times this; a batch has 10,000 rows of any size.
+AT_ONCE, TOKEN_SIZE = 1 << 19, 8
+
+
+def portions(column: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts or of token lists in slices of bounded size, so that a worker's memory doesn't grow with its rows; a row that is longer is a slice."""
+    listed = pa.types.is_list(column.type)
+    sizes = (pc.list_value_length(column) if listed else pc.binary_length(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes * (TOKEN_SIZE if listed else 1) + TOKEN_SIZE)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield column.slice(at, end - at)
+        at = end
+
+
+def once(column: pa.Array, make: Callable[[list], pa.Array]) -> pa.Array:
+    """`make` of a column's values; equal values of it are made once."""
+    known = column.dictionary_encode()
+    made = make(known.dictionary.to_pylist())
+    return made if len(made) == len(column) else made.take(known.indices)
+
+
 def running(kind: str) -> Callable[[Column], Column]:
     """A vectorized function over arrays of int: `sum`, the running sums of each; or `carry`, of each place the last value above 0 before it, else -1."""
 
-    @F.arrow_udf("array<int>")
-    def apply(column: pa.Array) -> pa.Array:
+    def values(column: pa.Array) -> pa.Array:
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)  # null arrays give empty ones
         starts = np.cumsum(lengths) - lengths
@@ -59,6 +81,11 @@ def running(kind: str) -> Callable[[Column], Column]:
             out = np.where(last >= np.repeat(starts, lengths), flat[last], -1) if len(flat) else flat
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(out.astype(np.int32)))
 
+    @F.arrow_udf("array<int>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield from map(values, portions(column))
+
     return apply
 
 
@@ -118,14 +145,18 @@ class Steps:
     def __call__(self, column: Column) -> Column:
         rows = self.rows
 
-        @F.arrow_udf(TOKENS)
-        def apply(tokens: pa.Array) -> pa.Array:
+        def changed(tokens: pa.Array) -> pa.Array:
             flat, at, out = list(zip(*(x.to_pylist() for x in tokens.flatten().flatten()))), 0, []
             for n in pc.list_value_length(tokens).to_pylist():
                 out.append(None if n is None else rows(flat[at : at + n]))
                 at += n or 0
             return token_arrays(out)
 
+        @F.arrow_udf(TOKENS)
+        def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for tokens in batches:
+                yield from map(changed, portions(tokens))
+
         return apply(column)
 
 

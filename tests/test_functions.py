@@ -240,3 +240,17 @@ def test_null_token_lists(spark):
         got = {r["k"]: r["y"] for r in df.select("k", step(F.col("x")).alias("y")).collect()}
         assert not got[2] and got[3] == [] and got[1]
     assert analyzers.rows(df.withColumnRenamed("x", "tokens"), "k").count() == 3
+
+
+def test_a_batch_is_cut_in_portions():
+    import pyarrow as pa
+
+    from lanna.operators.segment import tokens
+
+    texts = [None, "", "a b", *["one two three " * 200] * 600, "x " * filters.AT_ONCE, *[f"{k} a" for k in range(50)] * 2]
+    calls = []
+    arrays = list(analyzers.cut_portions(iter([pa.array(texts, pa.string())]), lambda t: calls.append(t) or tokens(t)))
+    assert sum(map(len, arrays)) == len(texts)
+    assert max(len(a.flatten()) for a in arrays if len(a) > 1) <= filters.AT_ONCE and len(calls) < 80
+    terms = [[t["term"] for t in row] for a in arrays for row in a.to_pylist() if len(row) < 9]
+    assert terms == [[], [], ["a", "b"], *[[str(k), "a"] for k in range(50)] * 2]
