@@ -254,3 +254,17 @@ def test_a_batch_is_cut_in_portions():
     assert max(len(a.flatten()) for a in arrays if len(a) > 1) <= filters.AT_ONCE and len(calls) < 80
     terms = [[t["term"] for t in row] for a in arrays for row in a.to_pylist() if len(row) < 9]
     assert terms == [[], [], ["a", "b"], *[[str(k), "a"] for k in range(50)] * 2]
+
+
+def shuffles(df, kind="hashpartitioning"):
+    """How many exchanges of a kind the plan has before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange {kind}")
+
+
+def test_segmentations_are_compared_without_a_shuffle(spark):
+    from lanna.plans.catalog import segmentation_f1
+
+    texts = spark.createDataFrame([(1, [(0, 2), (3, 5)], [(0, 2), (3, 9)]), (1, [(0, 2)], [(0, 2)]), (None, [], [(4, 6)])], "k int, a array<struct<x:int,y:int>>, b array<struct<x:int,y:int>>")
+    spans = [F.transform(c, lambda x: retrieval.span(x["x"], x["y"])).alias(c) for c in "ab"]
+    assert tuple(retrieval.span_f1(texts.select(*spans), "a", "b").first()) == (0.666667, 0.5, 0.571429)
+    assert shuffles(segmentation_f1(spark, "/root/testdata/sf0.001")) == 0
