@@ -268,3 +268,11 @@ def test_segmentations_are_compared_without_a_shuffle(spark):
     spans = [F.transform(c, lambda x: retrieval.span(x["x"], x["y"])).alias(c) for c in "ab"]
     assert tuple(retrieval.span_f1(texts.select(*spans), "a", "b").first()) == (0.666667, 0.5, 0.571429)
     assert shuffles(segmentation_f1(spark, "/root/testdata/sf0.001")) == 0
+
+
+@pytest.mark.parametrize("name", ["number_sequence_merge"])
+def test_small_tables_are_dealt_to_all_cores(spark, name):
+    import __spark_entry__ as entry
+
+    made = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert shuffles(made, "RoundRobinPartitioning") and not shuffles(made)
