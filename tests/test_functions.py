@@ -270,7 +270,7 @@ def test_segmentations_are_compared_without_a_shuffle(spark):
     assert shuffles(segmentation_f1(spark, "/root/testdata/sf0.001")) == 0
 
 
-@pytest.mark.parametrize("name", ["number_sequence_merge"])
+@pytest.mark.parametrize("name", ["number_sequence_merge", "dictionary_prefix_matches"])
 def test_small_tables_are_dealt_to_all_cores(spark, name):
     import __spark_entry__ as entry
 
