@@ -270,9 +270,14 @@ def test_segmentations_are_compared_without_a_shuffle(spark):
     assert shuffles(segmentation_f1(spark, "/root/testdata/sf0.001")) == 0
 
 
-@pytest.mark.parametrize("name", ["number_sequence_merge", "dictionary_prefix_matches"])
+@pytest.mark.parametrize("name", ["number_sequence_merge", "dictionary_prefix_matches", "soundex_codes"])
 def test_small_tables_are_dealt_to_all_cores(spark, name):
     import __spark_entry__ as entry
 
     made = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert shuffles(made, "RoundRobinPartitioning") and not shuffles(made)
+
+
+def test_the_rules_of_a_code_are_applied_once(spark):
+    plan = spark.range(1).select(scalar.soundex(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= len(scalar.SOUND_RULES)
