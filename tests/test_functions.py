@@ -281,3 +281,32 @@ def test_small_tables_are_dealt_to_all_cores(spark, name):
 def test_the_rules_of_a_code_are_applied_once(spark):
     plan = spark.range(1).select(scalar.soundex(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= len(scalar.SOUND_RULES)
+
+
+@pytest.mark.parametrize("name, most", [("bm25_top10", 1), ("layered_should", 1), ("prf_by_query", 1), ("ndcg10", 1), ("paired_diff", 1), ("report_cube", 1), ("bootstrap_ci", 1), ("phrase_slop0", 2), ("inverted_index", 1)])
+def test_texts_are_cut_once(spark, name, most):
+    """By the plan as it ran; a phrase is looked up in the texts that have its longest term, which are cut again."""
+    import re
+
+    import __spark_entry__ as entry
+
+    made = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    if name == "bootstrap_ci":  # the values are kept
+        plan = plan.split("InMemoryRelation")[-1]
+    spark.catalog.clearCache()
+    assert 1 <= len(re.findall(r"\[doc_id(?:#\d+L?)?, transform\(|Filter \(size\(transform\(coalesce\(regexp_extract_all\(text", plan)) <= most
+    assert "hashpartitioning(term#" not in plan or name != "inverted_index"
+
+
+def test_found_terms_of_repeated_and_null_keys(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (2, ["b"]), (None, ["a", "b"]), (3, [])], "k int, terms array<string>")
+    query = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (8, "c"), (9, "z")], "q int, term string")
+    of = retrieval.Found(docs, query, "k")
+    assert sorted(map(str, (tuple(r) for r in of.all_terms().collect()))) == ["(7, 1)", "(7, None)", "(8, 2)"]
+    assert sorted(map(str, (tuple(r) for r in of.counts().collect()))) == ["(7, 1, 3.0)", "(7, 2, 1.0)", "(7, None, 2.0)", "(8, 2, 1.0)"]
+    score = {(r["q"], r["k"]): r["score"] for r in of.bm25().collect()}
+    import math
+
+    assert len(score) == 4 and math.isclose(score[8, 2], math.log(1 + 3.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 / 1.75)))
