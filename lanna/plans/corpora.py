@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanna.operators import analyzers, retrieval
@@ -61,20 +64,23 @@ LAYERS = ((3.0, 1.0), (1.0, 1.0))
 @query("analyzer_pairs", expected.values_sql(expected.PAIR_HITS, "config, q, n_texts", "SELECT config, q, CAST(sum(n) AS BIGINT) AS n FROM e JOIN (SELECT p_partkey % {texts} AS k, count(*) AS n FROM part GROUP BY 1) ON list_contains(n_texts, k) GROUP BY config, q"))
 def analyzer_pairs(spark, sf_dir):
     """config, q, n: how many texts each search word finds, all its terms asked for, under each pair of modes and each layering."""
-    asked = spark.createDataFrame([(w, w) for w in expected.ASKED], "q string, text string")
-    postings, wanted = {}, {}
-    for mode in dict.fromkeys(m for pair in PAIRS for m in pair):
-        how = analyzers.analyzer(spark, mode)
-        tokens = analyzers.analyzed(thai_texts(spark, sf_dir), "text", how).select("p_partkey", F.explode("tokens.term").alias("term")).distinct()
-        postings[mode], wanted[mode] = tokens, analyzers.analyzed(asked, "text", how).select("q", F.explode("tokens.term").alias("term"))
-    hits = {(a, b): retrieval.match_all(postings[a], wanted[b], "p_partkey") for a, b in PAIRS}
+    asked = spark.createDataFrame([(w, w) for w in expected.ASKED], "q string, text string").coalesce(1)
+    found, wanted = {}, {}
+    modes = list(dict.fromkeys(m for pair in PAIRS for m in pair))
+    for mode in modes:
+        wanted[mode] = analyzers.analyzed(asked, "text", analyzers.analyzer(spark, mode)).select("q", F.explode("tokens.term").alias("term"))
+    every = reduce(DataFrame.union, wanted.values())
+    for mode in modes:
+        texts = analyzers.analyzed(thai_texts(spark, sf_dir), "text", analyzers.analyzer(spark, mode)).select("p_partkey", F.col("tokens.term").alias("terms"))
+        found[mode] = retrieval.Found(texts, every, "p_partkey")
+    hits = {(a, b): found[a].all_terms(wanted[b]) for a, b in PAIRS}
     named = [(f"{a}/{b}", found) for (a, b), found in hits.items()]
     for main, sub in LAYERS:
         both = [(hits[pair].withColumn("score", F.lit(1.0)), boost) for pair, boost in ((("none", "none"), main), (("mixed", "none"), sub))]
         named.append((f"layered {main:g}:{sub:g}", retrieval.layered(both, "p_partkey")))
     whole = None
-    for config, found in named:
-        n = found.groupBy("q").agg(F.count("*").alias("n")).select(F.lit(config).alias("config"), "q", "n")
+    for config, hit in named:
+        n = hit.groupBy("q").agg(F.count("*").alias("n")).select(F.lit(config).alias("config"), "q", "n")
         whole = n if whole is None else whole.unionByName(n)
     return whole
 
