@@ -177,7 +177,8 @@ def rows(df: DataFrame, key: str, tokens_column: str = "tokens") -> DataFrame:
     tokens = F.col(tokens_column)
     positions = filters.running("sum")(F.transform(tokens, lambda t: t["pos_inc"]))
     placed = F.zip_with(tokens, positions, lambda t, p: F.struct((p - 1).alias("position"), t.alias("t")))
-    return df.select(key, F.explode(placed).alias("x")).select(key, "x.position", "x.t.*")
+    found = df.select(key, F.explode_outer(placed).alias("x")).where(F.col("x").isNotNull())  # see retrieval.terms
+    return found.select(key, "x.position", "x.t.*")
 
 
 def register_udtf(spark: SparkSession, name: str = "thai_tokens") -> None:

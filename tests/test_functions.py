@@ -310,3 +310,35 @@ def test_found_terms_of_repeated_and_null_keys(spark):
     import math
 
     assert len(score) == 4 and math.isclose(score[8, 2], math.log(1 + 3.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 / 1.75)))
+
+
+def test_texts_are_cut_once_for_each_mode(spark):
+    import __spark_entry__ as entry
+
+    made = entry.queries()["analyzer_pairs"](spark, "/root/testdata/sf0.001")
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython [apply(element_at(") == 3
+
+
+def test_equal_words_are_spelled_once():
+    import pyarrow as pa
+
+    calls = []
+    made = filters.once(pa.array(["a", "b", None, "a", ""] * 3), lambda different: calls.extend(different) or pa.array([w and w + w for w in different], pa.string()))
+    assert made.to_pylist() == ["aa", "bb", None, "aa", ""] * 3 and sorted(filter(None, calls)) == ["a", "b"]
+
+
+def test_found_terms_are_dealt_to_as_many_tasks_as_the_texts_need(spark):
+    from lanna.plans.catalog import found, many
+
+    data = "/root/testdata/sf0.001"
+    assert found(spark, data).rows.rdd.getNumPartitions() == many(spark, data) >= 4
+
+
+def test_token_lists_go_in_portions():
+    import pyarrow as pa
+
+    lists = pa.array([[1] * 1000] * 500 + [None, [], [2] * 200_000], pa.list_(pa.int32()))
+    parts = list(filters.portions(lists))
+    assert pa.concat_arrays(parts).equals(lists) and max(len(p.flatten()) for p in parts[:-1]) * filters.TOKEN_SIZE <= filters.AT_ONCE
